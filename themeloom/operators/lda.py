@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from themeloom.functions import constants as C
 
-SMALLEST_FRACTION = 0.05  # a mini-batch is a pass over the cached rows, so it must not be too small
+SMALLEST_FRACTION = 0.1  # every mini-batch is a scan of the cached rows, so batches grow with the corpus
 
 
 def fit_lda(

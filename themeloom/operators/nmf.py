@@ -22,7 +22,8 @@ from themeloom.functions import constants as C
 from themeloom.functions import sparse as S
 
 _OVERSAMPLING, _POWER_PASSES = 10, 6
-_COMBINERS = 16
+_COMBINERS = 64
+_DIRECT_PARTITIONS = 64  # up to here the driver adds the tasks' arrays itself, a few megabytes in all
 
 
 @dataclass
@@ -45,17 +46,29 @@ def _summed(cells: DataFrame, per_block: Callable[[S.Rows], list[np.ndarray]]) -
                 parts = per_block(rows)
                 sums = parts if sums is None else [a + b for a, b in zip(sums, parts)]
         if sums is not None:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(sums)), pa.int32()), pa.array([s.tolist() for s in sums], pa.list_(pa.float64()))],
-                ["slot", "part"],
-            )
-
-    parts = cells.mapInArrow(partial, "slot int, part array<double>").select(
+            ends = np.cumsum([0] + [len(s) for s in sums]).astype(np.int32)
+            arrays = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sums)))
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), arrays], ["slot", "part"])
+
+    parts = cells.mapInArrow(partial, "slot int, part array<double>")
+    if cells.rdd.getNumPartitions() > _DIRECT_PARTITIONS:
+        parts = _combined(parts)
+    table = parts.toArrow()  # arrays of topics x vocabulary size, whatever the corpus holds
+    sums: dict[int, np.ndarray] = {}
+    for batch in table.to_batches():
+        for slot, part in zip(batch["slot"].to_pylist(), batch["part"]):
+            values = part.values.to_numpy()
+            sums[slot] = sums[slot] + values if slot in sums else values
+    return [sums[slot] for slot in sorted(sums)]
+
+
+def _combined(parts: DataFrame) -> DataFrame:
+    """Adds up the tasks' arrays in two steps, so that no reducer receives one from every task."""
+    vectors = parts.select(
         "slot", F.pmod(F.spark_partition_id(), F.lit(_COMBINERS)).alias("combiner"), array_to_vector("part").alias("part")
     )
-    combined = parts.groupBy("slot", "combiner").agg(Summarizer.sum(F.col("part")).alias("part"))
-    whole = combined.groupBy("slot").agg(vector_to_array(Summarizer.sum(F.col("part"))).alias("part"))
-    return [np.asarray(r["part"]) for r in whole.orderBy("slot").collect()]
+    first = vectors.groupBy("slot", "combiner").agg(Summarizer.sum(F.col("part")).alias("part"))
+    return first.groupBy("slot").agg(vector_to_array(Summarizer.sum(F.col("part"))).alias("part"))
 
 
 def _leading_subspace(cells: DataFrame, width: int, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,4 +178,5 @@ def infer(indices: Column, values: Column, topic_term: np.ndarray) -> Column:
         offsets = np.arange(len(weights) + 1, dtype=np.int32) * gram.shape[0]
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(weights.ravel()))
 
-    return F.arrow_udf(solve, "array<double>")(indices, values)
+    # Not for its results, but so that filters on them never make the solver run twice.
+    return F.arrow_udf(solve, "array<double>").asNondeterministic()(indices, values)

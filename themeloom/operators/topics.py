@@ -96,11 +96,11 @@ def blind_items(
         "model", "topic", "example", T.sheet_example(F.col(text_col)).alias("text")
     )
     examples = shown.groupBy("model", "topic").agg(
-        F.array_sort(F.collect_list(F.struct("example", "text")))["text"].alias("examples")
+        *[F.max(F.when(F.col("example") == i, F.col("text"))).alias(f"example_{i}") for i in range(1, C.SHEET_EXAMPLES + 1)]
     )
     items = (
         key.join(top_word_lists(topic_term), ["model", "topic"])
         .join(examples, ["model", "topic"], "left")
-        .select("code", "words", *[F.get("examples", F.lit(i)).alias(f"example_{i + 1}") for i in range(C.SHEET_EXAMPLES)])
+        .drop("model", "topic")
     )
     return items, key
