@@ -179,6 +179,6 @@ def _held(df: DataFrame) -> DataFrame:
 
 def coherence_cv(terms: DataFrame, corpus: DataFrame, window: int = C.COHERENCE_WINDOW) -> DataFrame:
     """`(model, coherence)` of the top terms `(model, topic, rank, term)`."""
-    usable = _held(usable_words(terms, corpus))
+    usable = _held(usable_words(_held(terms.select("model", "topic", "term")), corpus))
     counts = _held(window_counts(usable, corpus, window))
     return topic_coherence(usable, counts).groupBy("model").agg(F.avg("coherence").alias("coherence"))

@@ -13,6 +13,11 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
 
 
+def _tied(score: str) -> Column:
+    """Scores that differ only by the order of additions count as ties, which follow term order."""
+    return F.round(score, 9)
+
+
 def topic_term_shares(topic_term: DataFrame) -> DataFrame:
     """Adds `phi`: each topic's weights as shares of the topic."""
     return topic_term.withColumn(
@@ -70,7 +75,7 @@ def saliency(frequencies: DataFrame, n: int | None = C.MAP_TERMS) -> DataFrame:
     )
     if n is None:
         return scored
-    order = Window.partitionBy("model").orderBy(F.desc("saliency"), "term")
+    order = Window.partitionBy("model").orderBy(F.desc(_tied("saliency")), "term")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
@@ -84,7 +89,7 @@ def relevance(frequencies: DataFrame, lambdas: list[float] | None = None, n: int
         .withColumn("lambda", F.explode(F.array(*[F.lit(float(s)) for s in steps])))
         .withColumn("relevance", F.col("lambda") * F.col("logprob") + (1 - F.col("lambda")) * F.col("loglift"))
     )
-    order = Window.partitionBy("model", "topic", "lambda").orderBy(F.desc("relevance"), "term")
+    order = Window.partitionBy("model", "topic", "lambda").orderBy(F.desc(_tied("relevance")), "term")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 

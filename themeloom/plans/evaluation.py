@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,20 +46,16 @@ def sweep(
     vectorizer = X.fit_vectorizer(corpus, **vocabulary)
     kept = vectors(corpus, vectorizer, models)
 
-    def top(job: tuple[str, int]) -> DataFrame:
+    def top(job: tuple[str, int]) -> pa.Table:
         name, k = job
         fitted = fit_model(name, kept, vectorizer, k, seed)
-        best = TP.top_terms(fitted.topic_terms(spark)).select("topic", "rank", "term").toArrow()
-        return spark.createDataFrame(best, "topic int, rank int, term string").select(
-            F.lit(f"{name}:{k}").alias("model"), "topic", "rank", "term"
-        )
+        best = TP.top_terms(fitted.topic_terms(spark)).withColumn("model", F.lit(f"{name}:{k}"))
+        return best.select("model", "topic", "term").toArrow()
 
     try:
         with ThreadPoolExecutor(_FITS_AT_ONCE) as pool:
             found = list(pool.map(top, [(m, k) for k in topics for m in models]))
-        terms = found[0]
-        for df in found[1:]:
-            terms = terms.unionByName(df)
+        terms = spark.createDataFrame(pa.concat_tables(found), "model string, topic int, term string")
         scored = H.coherence_cv(terms, corpus)
         split = F.split("model", ":")
         wide = scored.select(

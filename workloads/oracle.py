@@ -330,7 +330,7 @@ def statements() -> dict[str, str]:
         QUALIFY row_number() OVER (PARTITION BY model, topic, "lambda" ORDER BY round(relevance, 9) DESC, term) <= {C.MAP_TERMS}"""
     s["topic_map_tokens"] = f"""SELECT model, term, topic::INT AS topic, {_r('topic_frequency / frequency', 'share')} FROM map_freq
         WHERE topic_frequency >= 0.5 AND (model, term) IN (SELECT (model, term) FROM (SELECT model, term,
-          row_number() OVER (PARTITION BY model ORDER BY round(sal, 12) DESC, term) AS r FROM (SELECT model, term,
+          row_number() OVER (PARTITION BY model ORDER BY round(sal, 9) DESC, term) AS r FROM (SELECT model, term,
             max(term_proportion) * sum(phi_of_term * ln(phi_of_term / proportion)) AS sal FROM map_freq GROUP BY ALL)) WHERE r <= {C.MAP_TERMS})"""
     s["topic_map_distance"] = f"""SELECT model, topic1, topic2, {_r('sum(js)', 'distance')} FROM (
         SELECT a.model, a.topic AS topic1, b.topic AS topic2, t.term,
