@@ -71,9 +71,17 @@ def content_tokens(
     stop = sorted(set(C.ENGLISH_STOPWORDS + C.DOMAIN_STOPWORDS if stopwords is None else stopwords))
     whole = [a + b for a, b in C.CONTRACTIONS]
     words = F.split(_replace(cleaned, whole, _CONTRACTION, _CONTRACTION_HEADS), " ")
-    if not stop:
-        return F.filter(words, lambda w: F.length(w) >= min_length)
-    return F.filter(words, lambda w: (F.length(w) >= min_length) & ~w.isin(stop))
+    return _filter_words(words, f"length(w) >= {int(min_length)}" + (f" AND w NOT IN {_listed(stop)}" if stop else ""))
+
+
+def _listed(words: Iterable[str]) -> str:
+    quoted = (w.replace("\\", "\\\\").replace("'", "\\'") for w in words)
+    return "(" + ", ".join(f"'{w}'" for w in quoted) + ")"
+
+
+def _filter_words(words: Column, condition: str) -> Column:
+    """Array filter with its condition on `w` as SQL: long word lists parse at once and become a hash set."""
+    return F.call_function("filter", words, F.expr(f"w -> {condition}"))
 
 
 def words_of(cleaned: Column) -> Column:
@@ -102,7 +110,7 @@ def recognised_words(words: Column, vocabulary: Iterable[str]) -> Column:
     known = [w for w in vocabulary if " " not in w]
     if not known:
         return F.array().cast("array<string>")
-    return F.array_distinct(F.filter(words, lambda w: w.isin(known)))
+    return F.array_distinct(_filter_words(words, f"w IN {_listed(known)}"))
 
 
 def _masked(text: Column) -> Column:

@@ -15,26 +15,28 @@ _BUCKET_DIGITS = 5  # 16^5 hash buckets: the cut-off bucket holds a millionth of
 def exact_sample(df: DataFrame, n: int, id_col: str = "doc_id", seed: int = C.SEED) -> DataFrame:
     """Exactly n rows without replacement, the same ones however the data is partitioned.
 
-    Rows are ordered by a seeded hash of their id. A count per hash bucket finds the bucket in
-    which the n-th row falls, so only about n rows are ever shuffled, and none go to one task.
+    Rows are ordered by a seeded hash of their id. A first job counts rows per hash bucket to find the
+    bucket in which the n-th row falls; then only about n rows are shuffled, spread over the buckets.
+    A table of at most n rows is returned as it is.
     """
     keyed = df.withColumn("_key", F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col)))).withColumn(
         "_bucket", F.substring("_key", 1, _BUCKET_DIGITS)
     )
     running = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = (
-        keyed.groupBy("_bucket").agg(F.count("*").alias("_rows"))
-        .withColumn("_upto", F.sum("_rows").over(running))
-        .where(F.col("_upto") >= n)
-        .agg(F.min(F.struct("_bucket", (F.col("_upto") - F.col("_rows")).alias("before"))).alias("cut"))
-        .scalar()
+        keyed.groupBy("_bucket").agg(F.count("*").alias("rows"))
+        .withColumn("upto", F.sum("rows").over(running))
+        .where(F.col("upto") >= n)
+        .agg(F.min("_bucket").alias("bucket"), F.min_by(F.col("upto") - F.col("rows"), "_bucket").alias("before"), F.max("upto").alias("total"))
+        .first()
     )
-    last = F.coalesce(cut["_bucket"], F.lit("~"))
+    if cut["bucket"] is None or cut["total"] == n:
+        return df
     within = Window.partitionBy("_bucket").orderBy("_key", id_col)
     return (
-        keyed.where(F.col("_bucket") <= last)
+        keyed.where(F.col("_bucket") <= cut["bucket"])
         .withColumn("_rank", F.row_number().over(within))
-        .where((F.col("_bucket") < last) | (F.col("_rank") <= n - F.coalesce(cut["before"], F.lit(0))))
+        .where((F.col("_bucket") < cut["bucket"]) | (F.col("_rank") <= n - cut["before"]))
         .drop("_key", "_bucket", "_rank")
     )
 

@@ -1,4 +1,4 @@
-"""Session settings and the two rules every operator shares: where scratch data goes, what may be broadcast."""
+"""Session settings and the two rules every operator shares: where scratch data goes, how work is spread."""
 
 from __future__ import annotations
 
@@ -6,9 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 100_000
 
 
 def build_session(app: str = "themeloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -49,7 +46,9 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; a larger side is left to a shuffled join."""
-    rows = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if rows <= max_rows else df
+def spread(df: DataFrame) -> DataFrame:
+    """Redistributes a scan that has fewer tasks than the cluster has cores, such as a table kept in one
+    row group, before work that is heavy per row. A large table already has more tasks and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

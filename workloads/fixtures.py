@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.operators import corpus as K
+from themeloom.session import materialise, spread
 
 TOPICS = 11
 # Names for the stand-in topics. Topic 4 has a style but the default name, topic 9 neither.
@@ -27,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,11 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.prepare(documents(spark, sf_dir), "text", sample_size=None)
 
 
+def stored_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same corpus written once, for queries that read it several times."""
+    return materialise(corpus(spark, sf_dir).select("doc_id", "clean_text"), "corpus")
+
+
 def labels(spark: SparkSession) -> DataFrame:
     rows = [(m, t, n, s) for m in ("NMF", "LDA") for t, (n, s) in TOPIC_NAMES.items() if m == "NMF" or t < 2]
     return spark.createDataFrame(rows, "model string, topic int, name string, style string")

@@ -112,7 +112,7 @@ def top_words(spark, sf_dir):
 
 @query
 def corpus_summary(spark, sf_dir):
-    corpus = X.corpus(spark, sf_dir)
+    corpus = X.stored_corpus(spark, sf_dir)
     return K.summary(corpus).select(
         "documents", r6("mean_words"), "vocabulary", K.median_length(corpus).scalar().alias("median_words")
     )
@@ -128,30 +128,30 @@ def length_histogram(spark, sf_dir):
 
 @query
 def vocabulary(spark, sf_dir):
-    return V.vocabulary(X.corpus(spark, sf_dir))
+    return V.vocabulary(X.stored_corpus(spark, sf_dir))
 
 
 @query
 def count_vectors(spark, sf_dir):
-    corpus = X.corpus(spark, sf_dir)
+    corpus = X.stored_corpus(spark, sf_dir)
     return V.long_form(V.fit_vectorizer(corpus).counts(corpus), "counts")
 
 
 @query
 def tfidf_vectors(spark, sf_dir):
-    corpus = X.corpus(spark, sf_dir)
+    corpus = X.stored_corpus(spark, sf_dir)
     return V.long_form(V.fit_vectorizer(corpus).tfidf(corpus), "tfidf").select("doc_id", "term_id", r6("value"))
 
 
 @query
 def term_frequency(spark, sf_dir):
-    corpus = X.corpus(spark, sf_dir)
+    corpus = X.stored_corpus(spark, sf_dir)
     return V.term_frequency(V.fit_vectorizer(corpus).tfidf(corpus), "tfidf").select("term_id", r6("frequency"))
 
 
 @query
 def known_terms(spark, sf_dir):
-    corpus = X.corpus(spark, sf_dir)
+    corpus = X.stored_corpus(spark, sf_dir)
     fitted = V.fit_vectorizer(corpus)
     words = T.recognised_words(F.split("clean_text", " "), fitted.terms)
     return fitted.counts(corpus).select(
@@ -242,19 +242,19 @@ def coherence_filter(spark, sf_dir):
     terms = TP.top_terms(X.topic_term(spark, sf_dir)).withColumn(
         "term", F.when(F.col("topic") % 5 == 0, F.concat_ws(" ", "term", F.reverse("term"))).otherwise(F.col("term"))
     )
-    return H.usable_words(terms, X.corpus(spark, sf_dir))
+    return H.usable_words(terms, X.stored_corpus(spark, sf_dir))
 
 
 @query
 def window_counts(spark, sf_dir):
-    corpus = X.corpus(spark, sf_dir)
+    corpus = X.stored_corpus(spark, sf_dir)
     return H.window_counts(H.usable_words(TP.top_terms(X.topic_term(spark, sf_dir)), corpus), corpus)
 
 
 @query
 def coherence_cv(spark, sf_dir):
     terms = TP.top_terms(X.topic_term(spark, sf_dir))
-    return H.coherence_cv(terms, X.corpus(spark, sf_dir)).select("model", r6("coherence"))
+    return H.coherence_cv(terms, X.stored_corpus(spark, sf_dir)).select("model", r6("coherence"))
 
 
 # ---- distribution ------------------------------------------------------------------------
@@ -350,7 +350,7 @@ def best_k(spark, sf_dir):
 
 def _compared(spark, sf_dir):
     terms = TP.top_terms(X.topic_term(spark, sf_dir))
-    metrics = H.coherence_cv(terms, X.corpus(spark, sf_dir)).join(TP.diversity(terms), "model")
+    metrics = H.coherence_cv(terms, X.stored_corpus(spark, sf_dir)).join(TP.diversity(terms), "model")
     return P.comparison(P.criteria_values(metrics, rating_by_model(spark, sf_dir), D.summarize(_counts(spark, sf_dir))))
 
 
@@ -417,18 +417,18 @@ def topic_map_distance(spark, sf_dir):
 
 @query
 def nmf_topics(spark, sf_dir):
-    fitted = training.fit(X.corpus(spark, sf_dir), models=["NMF"]).models["NMF"]
+    fitted = training.fit(X.stored_corpus(spark, sf_dir), models=["NMF"]).models["NMF"]
     return TP.top_terms(fitted.topic_terms(spark)).select("model", "topic", "rank", "term", "weight")
 
 
 @query
 def lda_topics(spark, sf_dir):
-    fitted = training.fit(X.corpus(spark, sf_dir), models=["LDA"]).models["LDA"]
+    fitted = training.fit(X.stored_corpus(spark, sf_dir), models=["LDA"]).models["LDA"]
     return TP.top_terms(fitted.topic_terms(spark)).select("model", "topic", "rank", "term", "weight")
 
 
 def _scored(spark, sf_dir, name):
-    corpus = X.corpus(spark, sf_dir)
+    corpus = X.stored_corpus(spark, sf_dir)
     fitted = training.fit(corpus, models=[name]).models[name]
     return fitted.infer(corpus.select("doc_id", "clean_text")).select(
         "doc_id", "known_terms", F.size("weights").alias("topics"),
@@ -457,7 +457,7 @@ def upload_assignments(spark, sf_dir):
 
 @query
 def score_upload(spark, sf_dir):
-    corpus = X.corpus(spark, sf_dir)
+    corpus = X.stored_corpus(spark, sf_dir)
     fitted = training.fit(corpus, models=["NMF"]).models["NMF"]
     upload = X.documents(spark, sf_dir).select("doc_id", "source", "text")
     return S.score_upload(upload, "text", fitted, X.labels(spark)).drop("text")
@@ -465,7 +465,7 @@ def score_upload(spark, sf_dir):
 
 @query
 def score_transcripts(spark, sf_dir):
-    fitted = training.fit(X.corpus(spark, sf_dir), models=["NMF"]).models["NMF"]
+    fitted = training.fit(X.stored_corpus(spark, sf_dir), models=["NMF"]).models["NMF"]
     scored = S.score_transcripts(X.transcripts(spark, sf_dir), fitted, X.labels(spark))
     return scored.select("recording", "length_seconds", "note", F.col("topic_number").isNotNull().alias("placed"))
 
@@ -477,7 +477,7 @@ def report_tables(spark, sf_dir):
 
 @query
 def final_metrics(spark, sf_dir):
-    corpus = X.corpus(spark, sf_dir)
+    corpus = X.stored_corpus(spark, sf_dir)
     return evaluation.final_metrics(training.fit(corpus), corpus)
 
 
