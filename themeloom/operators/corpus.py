@@ -137,7 +137,7 @@ def length_histogram(corpus: DataFrame, bins: int = C.LENGTH_BINS) -> DataFrame:
         lengths.select(
             "n",
             # A single length sits in the middle of a unit-wide range.
-            F.coalesce(F.least(position, F.lit(bins - 1)), F.lit(bins // 2)).cast("int").alias("bin"),
+            F.when(spread == 0, F.lit(bins // 2)).otherwise(F.least(position, F.lit(bins - 1))).cast("int").alias("bin"),
         )
         .groupBy("bin").agg(F.sum("n").alias("n"))
     )

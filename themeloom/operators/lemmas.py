@@ -21,17 +21,20 @@ def lexicon_of(df: DataFrame, text_col: str = "raw_text") -> DataFrame:
 
 
 def _forms(word: Column, irregular: dict[str, str]) -> Column:
-    """Candidate base forms, the word itself first, then one per matching ending."""
+    """Candidate base forms: one per matching ending, then the word itself. Irregular nouns have one.
+
+    The word comes last because the default lexicon holds every surface form, also `firemen`.
+    """
     endings = [
         F.when(F.endswith(word, F.lit(end)), F.concat(F.substr(word, F.lit(1), F.length(word) - len(end)), F.lit(new)))
         for end, new in C.NOUN_ENDINGS
     ]
-    regular = F.filter(F.array(word, *endings), lambda f: f.isNotNull())
+    regular = F.filter(F.array(*endings, word), lambda f: f.isNotNull())
     if not irregular:
         return regular
     pairs = F.create_map(*[F.lit(x) for pair in irregular.items() for x in pair])
     special = F.try_element_at(pairs, word)
-    return F.when(special.isNotNull(), F.array(word, special)).otherwise(regular)
+    return F.when(special.isNotNull(), F.array(special)).otherwise(regular)
 
 
 def lemma_table(

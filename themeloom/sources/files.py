@@ -35,14 +35,14 @@ def read_complaints(
 ) -> DataFrame:
     """Raw complaints as `(doc_id, product, narrative)`; other columns are pruned in the scan.
 
-    The id combines file, position and text hash, so it is the same whenever the file is.
+    A quoted file is one task, so ids number rows by file and position. Write the result to Parquet
+    before anything joins on the id.
     """
-    rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"').select(
+    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"').select(
         F.monotonically_increasing_id().alias("doc_id"),
         or_missing(F.col(f"`{product_col}`")).alias("product"),
         or_missing(F.col(f"`{text_col}`")).alias("narrative"),
     )
-    return rows
 
 
 def lines_of(text: Column) -> Column:
@@ -67,11 +67,8 @@ def upload_text(df: DataFrame, text_col: str) -> DataFrame:
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """Topic labels from a JSON file; a missing or broken file gives an empty table."""
-    return parse_labels(
-        spark.read.option("wholetext", True).option("ignoreMissingFiles", True).text(path)
-        if _exists(spark, path)
-        else spark.createDataFrame([], "value string")
-    )
+    found = _exists(spark, path)
+    return parse_labels(spark.read.text(path, wholetext=True) if found else spark.createDataFrame([], "value string"))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -96,7 +93,7 @@ def read_rating_sheets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_recordings(spark: SparkSession, path: str, extensions: str = "*") -> DataFrame:
-    """`(recording, content, md5)` of audio files."""
+    """`(recording, content, md5)` of audio files; files without a byte give no row."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", extensions).load(path)
     return files.select(
         F.element_at(F.split("path", "/"), -1).alias("recording"), "content", F.md5("content").alias("md5")
