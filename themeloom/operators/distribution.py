@@ -15,11 +15,11 @@ def topic_counts(doc_topic: DataFrame, topics: int | None = None) -> DataFrame:
     counts = assign(doc_topic).groupBy("model", "topic").agg(F.count("*").alias("documents"))
     if topics is None:
         return counts
-    every = counts.select("model").distinct().select(
-        "model", F.explode(F.sequence(F.lit(0), F.lit(topics - 1))).alias("topic")
+    held = counts.groupBy("model").agg(
+        F.map_from_entries(F.collect_list(F.struct("topic", "documents"))).alias("held")  # one entry per topic
     )
-    return every.join(counts, ["model", "topic"], "left").withColumn(
-        "documents", F.coalesce("documents", F.lit(0))
+    return held.select("model", "held", F.explode(F.sequence(F.lit(0), F.lit(topics - 1))).alias("topic")).select(
+        "model", "topic", F.coalesce(F.try_element_at("held", F.col("topic")), F.lit(0)).cast("long").alias("documents")
     )
 
 

@@ -78,8 +78,13 @@ def transcribe(recordings: DataFrame, transcriber: Callable[[bytes], tuple[str,
                 [pa.array(c, t) for c, t in zip(columns, types)], ["md5", "seconds", "transcript", "note"]
             )
 
-    spoken = identified.select("md5", "content").dropDuplicates(["md5"]).mapInArrow(
-        run, "md5 string, seconds double, transcript string, note string"
+    # The first name under each content is chosen from names and hashes alone: no audio is shuffled
+    # while that list is small enough for the optimizer to broadcast.
+    first = identified.groupBy("md5").agg(F.min("recording").alias("recording"))
+    spoken = (
+        identified.join(first, ["md5", "recording"], "left_semi").select("md5", "content")
+        .mapInArrow(run, "md5 string, seconds double, transcript string, note string")
+        .dropDuplicates(["md5"])
     )
     return identified.select("recording", "md5").join(spoken, "md5").select(
         "recording", "seconds", "transcript", "note"
