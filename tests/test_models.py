@@ -80,7 +80,7 @@ def test_row_blocks_cover_every_row(monkeypatch):
 
 def test_both_ways_of_adding_partial_sums_agree(spark, planted, fitted, monkeypatch):
     vectored = fitted.vectorizer.tfidf(planted)
-    i, x = V.cells(vectored, "tfidf")
+    i, x = V.cells("tfidf")
     cells = vectored.select(i.alias("indices"), x.alias("values")).repartition(4)
     width = len(fitted.vectorizer.terms)
     direct = nmf._summed(cells, lambda rows: list(S.transposed_times(rows, S.times(rows, np.eye(width)[:, :3]), width)))
@@ -100,6 +100,14 @@ def test_unknown_texts(spark, fitted):
     assert ok == {1: (True, False), 2: (False, True), 3: (False, True)}
 
 
+def test_uploads_keep_columns_of_any_name(spark, fitted):
+    df = spark.createDataFrame([("loan rate bank", "mine", 7, 1)], "`my text` string, topic string, model int, length int")
+    labels = spark.createDataFrame([], "model string, topic int, name string, style string")
+    row = SC.score_upload(df, "my text", fitted.models["NMF"], labels).first()
+    assert (row["my text"], row["topic"], row["model"], row["length"]) == ("loan rate bank", "mine", 7, 1)
+    assert row["assigned_topic"].startswith("Topic ") and 0 < row["confidence"] <= 1
+
+
 def test_models_survive_saving(spark, planted, fitted, tmp_path):
     fitted.save(spark, str(tmp_path))
     again = training.load(spark, str(tmp_path))
@@ -192,7 +200,7 @@ def test_reports_of_fitted_models(spark, planted, fitted):
     items, key = reports.rating_sheet(fitted, weights, corpus)
     assert {r["code"] for r in items.collect()} == {f"T{i:02d}" for i in range(1, 7)} == {r["code"] for r in key.collect()}
     assert all(r["example_3"] and len(r["words"].split(", ")) <= 10 for r in items.collect())
-    tables = reports.topic_map(fitted, weights, corpus, [0.0, 1.0])
+    tables = reports.topic_map(fitted, weights, [0.0, 1.0])
     proportions = tables["prevalence"].groupBy("model").agg(F.sum("proportion").alias("p")).collect()
     assert all(r["p"] == pytest.approx(1) for r in proportions)
     assert tables["distances"].count() == 6 and tables["tokens"].count() > 0 and tables["relevant"].count() > 0

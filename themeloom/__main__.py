@@ -81,7 +81,7 @@ def spread(at: Folder, args) -> None:
 
 
 def maps(at: Folder, args) -> None:
-    for name, table in reports.topic_map(at.fitted(), at.doc_topic(), at.corpus()).items():
+    for name, table in reports.topic_map(at.fitted(), at.doc_topic()).items():
         table.write.mode("overwrite").parquet(at.path(f"topic_map/{name}"))
 
 

@@ -117,7 +117,7 @@ def fit_vectorizer(
     return Vectorizer([r["term"] for r in rows], [r["df"] for r in rows], corpus.count(), ngram_range)
 
 
-def cells(df: DataFrame, vector_col: str) -> tuple[Column, Column]:
+def cells(vector_col: str) -> tuple[Column, Column]:
     """Index and value arrays of a sparse vector column."""
     parts = F.unwrap_udt(vector_col)
     return parts["indices"], parts["values"]
@@ -130,7 +130,7 @@ def known_terms(vector_col: str) -> Column:
 
 def long_form(df: DataFrame, vector_col: str, id_col: str = "doc_id") -> DataFrame:
     """`(doc_id, term_id, value)` of the stored cells; a narrow step."""
-    indices, values = cells(df, vector_col)
+    indices, values = cells(vector_col)
     return df.select(id_col, F.explode(F.arrays_zip(indices.alias("term_id"), values.alias("value"))).alias("c")).select(
         id_col, "c.term_id", "c.value"
     )

@@ -22,19 +22,19 @@ def fit_lda(
     passes: int = C.LDA_PASSES,
     batch: int = C.LDA_BATCH,
 ) -> LDAModel:
-    """Fits topics on count vectors; `passes` counts visits of the corpus, not mini-batches."""
-    rows = df.select(vector_col).persist()
-    try:
-        fraction = min(1.0, max(batch / max(rows.count(), 1), SMALLEST_FRACTION))
-        prior = 1.0 / n_topics
-        return LDA(
-            k=n_topics, seed=seed, optimizer="online", featuresCol=vector_col,
-            learningOffset=C.LDA_OFFSET, learningDecay=C.LDA_DECAY,
-            docConcentration=[prior] * n_topics, topicConcentration=prior, optimizeDocConcentration=False,
-            subsamplingRate=fraction, maxIter=math.ceil(passes / fraction),
-        ).fit(rows)
-    finally:
-        rows.unpersist()
+    """Fits topics on count vectors, which the caller keeps cached: every mini-batch scans them.
+
+    `passes` counts visits of the corpus, not mini-batches.
+    """
+    rows = df.select(vector_col)
+    fraction = min(1.0, max(batch / max(rows.count(), 1), SMALLEST_FRACTION))
+    prior = 1.0 / n_topics
+    return LDA(
+        k=n_topics, seed=seed, optimizer="online", featuresCol=vector_col,
+        learningOffset=C.LDA_OFFSET, learningDecay=C.LDA_DECAY,
+        docConcentration=[prior] * n_topics, topicConcentration=prior, optimizeDocConcentration=False,
+        subsamplingRate=fraction, maxIter=math.ceil(passes / fraction),
+    ).fit(rows)
 
 
 def infer(df: DataFrame, model: LDAModel, vector_col: str, known: Column, output: str = "weights") -> DataFrame:

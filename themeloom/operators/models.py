@@ -34,17 +34,20 @@ class TopicModel:
         return self.vectorizer.counts(df, output) if self.name == "LDA" else self.vectorizer.tfidf(df, output)
 
     def infer(self, df: DataFrame) -> DataFrame:
-        """Adds `known_terms` and `weights` to rows with `clean_text`; no shuffle."""
-        vectored = self.vectors(df, "_vector").withColumn("known_terms", X.known_terms("_vector"))
+        """Adds `known_terms`, `length` (row sum of the model's own matrix) and `weights`; no shuffle."""
+        indices, values = X.cells("_vector")
+        vectored = self.vectors(df, "_vector").withColumn("known_terms", F.size(indices)).withColumn(
+            "length", F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+        )
         if self.lda is not None:
             return lda.infer(vectored, self.lda, "_vector", F.col("known_terms")).drop("_vector")
-        weights = nmf.infer(*X.cells(vectored, "_vector"), self.topic_term)
+        weights = nmf.infer(indices, values, self.topic_term)
         return vectored.withColumn("weights", weights).drop("_vector")
 
     def doc_topic(self, corpus: DataFrame, id_col: str = "doc_id") -> DataFrame:
-        """`(model, doc_id, weights)` for a corpus."""
+        """`(model, doc_id, length, weights)` for a corpus."""
         return self.infer(corpus.select(id_col, "clean_text")).select(
-            F.lit(self.name).alias("model"), id_col, "weights"
+            F.lit(self.name).alias("model"), id_col, "length", "weights"
         )
 
     def topic_terms(self, spark: SparkSession) -> DataFrame:
@@ -89,5 +92,5 @@ def fit_model(
     if name == "LDA":
         fitted = lda.fit_lda(vectored, "counts", n_topics, seed)
         return TopicModel("LDA", vectorizer, fitted.topicsMatrix().toArray().T, fitted)
-    result = nmf.fit_nmf(vectored, *X.cells(vectored, "tfidf"), len(vectorizer.terms), n_topics, seed)
+    result = nmf.fit_nmf(vectored, *X.cells("tfidf"), len(vectorizer.terms), n_topics, seed)
     return TopicModel("NMF", vectorizer, result.topic_term, objective=result.objective)

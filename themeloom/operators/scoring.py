@@ -48,12 +48,15 @@ def name_assignments(placed: DataFrame, model_name: str, labels: DataFrame, topi
     named = with_labels(placed.withColumn("model", F.lit(model_name)), labels, topics)
     return named.withColumn("assigned_topic", F.col("topic_name")).withColumn(
         "confidence", F.bround("confidence", 3)
-    ).drop("model", "topic", "topic_name", "writing_style", "clean_text", "known_terms", "weights")
+    ).drop("model", "topic", "topic_name", "writing_style", "clean_text", "known_terms", "length", "weights")
 
 
 def score_upload(df: DataFrame, text_col: str, model: TopicModel, labels: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
-    """Scores a table and keeps its columns."""
-    return name_assignments(place(infer_texts(df, text_col, model, lemmas)), model.name, labels, model.n_topics)
+    """Scores a table and keeps its columns, whatever they are called."""
+    held = df.select(F.struct("*").alias("_row"), F.col(f"`{text_col}`").alias("_text"))
+    named = name_assignments(place(infer_texts(held, "_text", model, lemmas)), model.name, labels, model.n_topics)
+    kept = [F.col("_row")[c].alias(c) for c in df.columns if c not in ("assigned_topic", "confidence")]
+    return named.select(*kept, "assigned_topic", "confidence")
 
 
 def transcribe(recordings: DataFrame, transcriber: Callable[[bytes], tuple[str, float]]) -> DataFrame:

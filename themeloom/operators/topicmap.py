@@ -25,13 +25,13 @@ def topic_term_shares(topic_term: DataFrame) -> DataFrame:
     )
 
 
-def mapped_documents(doc_topic: DataFrame, lengths: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Documents with topic weight and known vocabulary: `(model, doc_id, theta, length)`."""
-    whole = W.total(F.col("weights"))
-    return (
-        doc_topic.where(whole > 0)
-        .join(lengths.where(F.col("length") > 0), ["model", id_col])
-        .select("model", id_col, W.shares(F.col("weights")).alias("theta"), "length")
+def mapped_documents(doc_topic: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Documents with topic weight and known vocabulary: `(model, doc_id, theta, length)`.
+
+    Inference leaves each document's length next to its weights, so nothing is joined here.
+    """
+    return doc_topic.where((W.total(F.col("weights")) > 0) & (F.col("length") > 0)).select(
+        "model", id_col, W.shares(F.col("weights")).alias("theta"), "length"
     )
 
 

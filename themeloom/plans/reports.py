@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from themeloom.functions import constants as C
 from themeloom.operators import distribution as D
-from themeloom.operators import features as X
 from themeloom.operators import topicmap as M
 from themeloom.operators import topics as TP
 from themeloom.plans.training import Fitted
@@ -36,19 +35,10 @@ def require_alignment(corpus: DataFrame, doc_topic: DataFrame) -> None:
             )
 
 
-def topic_map(
-    fitted: Fitted, doc_topic: DataFrame, corpus: DataFrame, lambdas: list[float] | None = None
-) -> dict[str, DataFrame]:
+def topic_map(fitted: Fitted, doc_topic: DataFrame, lambdas: list[float] | None = None) -> dict[str, DataFrame]:
     """The tables of the topic map of every model: prevalence, salient and relevant terms, tokens, distances."""
-    shares = M.topic_term_shares(fitted.topic_terms(corpus.sparkSession))
-    lengths = None
-    for name, model in fitted.models.items():
-        _, values = X.cells(corpus, "vector")
-        own = model.vectors(corpus.select("doc_id", "clean_text"), "vector").select(
-            F.lit(name).alias("model"), "doc_id", F.aggregate(values, F.lit(0.0), lambda a, x: a + x).alias("length")
-        )
-        lengths = own if lengths is None else lengths.unionByName(own)
-    prevalence = M.prevalence(M.mapped_documents(doc_topic, lengths))
+    shares = M.topic_term_shares(fitted.topic_terms(doc_topic.sparkSession))
+    prevalence = M.prevalence(M.mapped_documents(doc_topic))
     frequencies = M.term_frequencies(shares, prevalence)
     salient = M.saliency(frequencies, C.MAP_TERMS)
     relevant = M.relevance(frequencies, lambdas)

@@ -376,8 +376,7 @@ def _map_shares(spark, sf_dir):
 
 def _map_prevalence(spark, sf_dir):
     lengths = X.corpus(spark, sf_dir).select("doc_id", F.size(F.split("clean_text", " ")).cast("double").alias("length"))
-    per_model = lengths.select(F.explode(F.array(*[F.lit(m) for m in C.MODELS])).alias("model"), "doc_id", "length")
-    return TM.prevalence(TM.mapped_documents(X.doc_topic(spark, sf_dir), per_model))
+    return TM.prevalence(TM.mapped_documents(X.doc_topic(spark, sf_dir).join(lengths, "doc_id")))
 
 
 def _map_frequencies(spark, sf_dir):
