@@ -28,6 +28,7 @@ def usable_words(terms: DataFrame, corpus: DataFrame) -> DataFrame:
     A topic none of whose terms is a single word falls back to the words inside its n-grams. Only the
     topics' own words are looked up, so the corpus' full dictionary is never built.
     """
+    terms = _held(terms.select("model", "topic", "term"))
     parts = terms.select("model", "topic", "term", F.explode(F.split("term", " ")).alias("word"))
     candidates = terms.select(F.col("term").alias("word")).union(parts.select("word")).distinct()
     tokens = corpus.select(F.explode(T.words_of(F.col("clean_text"))).alias("word"))
@@ -179,6 +180,6 @@ def _held(df: DataFrame) -> DataFrame:
 
 def coherence_cv(terms: DataFrame, corpus: DataFrame, window: int = C.COHERENCE_WINDOW) -> DataFrame:
     """`(model, coherence)` of the top terms `(model, topic, rank, term)`."""
-    usable = _held(usable_words(_held(terms.select("model", "topic", "term")), corpus))
+    usable = _held(usable_words(terms, corpus))
     counts = _held(window_counts(usable, corpus, window))
     return topic_coherence(usable, counts).groupBy("model").agg(F.avg("coherence").alias("coherence"))

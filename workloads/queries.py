@@ -23,7 +23,7 @@ from themeloom.operators import scoring as S
 from themeloom.operators import topicmap as TM
 from themeloom.operators import topics as TP
 from themeloom.plans import evaluation, training
-from themeloom.session import scratch_dir
+from themeloom.session import materialise, scratch_dir
 from themeloom.sources import files
 from workloads import fixtures as X
 
@@ -371,7 +371,7 @@ def _map_shares(spark, sf_dir):
     folded = X.topic_term(spark, sf_dir).groupBy("model", (F.col("topic") % X.TOPICS).alias("topic"), "term").agg(
         F.sum("weight").alias("weight")
     )
-    return TM.topic_term_shares(folded)
+    return TM.topic_term_shares(materialise(folded, "topic-term"))
 
 
 def _map_prevalence(spark, sf_dir):
