@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import factorisation, licences, line_dedup, packing, piece_encoding, quality_rules, token_transducer, vector_dedup
+from themeloom.llm import factorisation, jaccard_join, licences, line_dedup, packing, piece_encoding, quality_rules, token_transducer, vector_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -73,3 +73,8 @@ def op5_quality_classifier(spark, sf_dir):
 @query
 def op10_near_vectors(spark, sf_dir):
     return vector_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query
+def op7_jaccard_join(spark, sf_dir):
+    return jaccard_join.near_duplicates(documents(spark, sf_dir))
