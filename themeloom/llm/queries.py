@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import factorisation, jaccard_join, licences, line_dedup, packing, piece_encoding, quality_rules, token_transducer, vector_dedup
+from themeloom.llm import (
+    factorisation, jaccard_join, licences, line_dedup, packing, piece_encoding, quality_rules, suffix_tree, token_transducer,
+    vector_dedup,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -78,3 +81,8 @@ def op10_near_vectors(spark, sf_dir):
 @query
 def op7_jaccard_join(spark, sf_dir):
     return jaccard_join.near_duplicates(documents(spark, sf_dir))
+
+
+@query
+def op4_suffix_tree(spark, sf_dir):
+    return suffix_tree.score_documents(documents(spark, sf_dir))
