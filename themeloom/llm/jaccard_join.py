@@ -18,47 +18,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.llm.common import WORD, BoundedCache, lower_ascii, materialise, text_batches
+from themeloom.llm.common import materialise
 from themeloom.llm.components import components
+from themeloom.llm.word_hashing import word_hashes
 
 SHINGLE_WORDS = 5
 PERCENT = 80
 COMMON_SHINGLES = 1 << 18  # bound of the table of frequent shingles; any bound gives the same links
 COMMON_FROM = 2
 BLOCK_SETS = 2000
-_WORD_LIMIT = 200_000
-_MASK = (1 << 64) - 1
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
-
-
-class Shingler:
-    """The distinct shingles of a text as sorted 64-bit hashes."""
-
-    def __init__(self, width: int):
-        self.width = width
-        self.words = BoundedCache(lambda w: xxhash.xxh64_intdigest(w), _WORD_LIMIT)
-        odd = [int(_ODD[k % 5]) * (2 * (k // 5) + 1) & _MASK for k in range(width)]
-        self.odd = np.array(odd, np.uint64)
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = WORD.findall(lower_ascii(text))
-        if not words:
-            return np.zeros(0, np.uint64)
-        if len(words) < self.width:
-            return np.array([xxhash.xxh64_intdigest(" ".join(words), seed=1)], np.uint64)
-        hashes = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
-        n = len(words) - self.width + 1
-        mixed = np.zeros(n, np.uint64)
-        for k in range(self.width):  # order matters: every place has its own multiplier, and rotates
-            mixed ^= hashes[k : k + n] * self.odd[k]
-            mixed = (mixed << np.uint64(13)) | (mixed >> np.uint64(51))
-            mixed *= _ODD[(k + 2) % 5]
-        mixed ^= mixed >> np.uint64(32)
-        return np.unique(mixed)
+HOT_FROM = 4096  # sets with a shingle, from which on its rows are not sent to one task
+FILTER_WORDS = 1 << 20  # 64-bit words of the filter of wanted sets
+_ODD = np.uint64(0xFF51AFD7ED558CCD)
+
+
+def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """For each text, its distinct shingles as sorted 64-bit hashes."""
+    for hashes in word_hashes(texts):
+        if not len(hashes):
+            yield hashes
+            continue
+        size = min(width, len(hashes))
+        n = len(hashes) - size + 1
+        mixed = np.full(n, size, np.uint64)
+        for k in range(size):  # every place counts: the state is multiplied and turned before the next word
+            mixed = (mixed ^ hashes[k : k + n]) * _ODD
+            mixed ^= mixed >> np.uint64(29)
+        yield np.unique(mixed)
 
 
 def set_digest(shingles: np.ndarray) -> bytes:
@@ -221,13 +210,18 @@ class Block:
                     own.append(x)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], width: int, rows: int = 1024) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            part = batch.slice(start, rows)
+            yield part, list(shingle_sets(part.column(part.schema.get_field_index("text")), width))
+
+
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     """id, n_shingles and the set's digest; an empty set has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
-        for part, texts in text_batches(batches):
-            sets = [shingler(t) for t in texts]
+        for part, sets in _slices(batches, width):
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary())],
                 names=["id", "n_shingles", "sid"],
@@ -237,13 +231,12 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _shingle_counts(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """How many sets have each shingle among their first ones, half as many again as the join reads."""
+    """How many documents have each shingle among their first ones by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
         none = np.zeros(0, np.uint64)
-        for _, texts in text_batches(batches, 4096):
-            firsts = [first_shingles(s, none, none, percent, 1.5) for s in map(shingler, texts) if len(s) > 1]
+        for _, sets in _slices(batches, width, 4096):
+            firsts = [first_shingles(s, none, none, percent, 1.2) for s in sets if len(s) > 1]
             if firsts:
                 shingle, many = np.unique(np.concatenate(firsts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(many, pa.int64())], names=["shingle", "n"])
@@ -251,58 +244,139 @@ def _shingle_counts(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
 
 
-def _postings(docs: DataFrame, width: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(shingle, sid) for the first shingles of every set."""
+def _postings(docs: DataFrame, width: int, percent: int, common: tuple[np.ndarray, np.ndarray], hot_from: int) -> DataFrame:
+    """(shingle, sid, salt) for the first shingles of every set; a hot shingle's rows have salts, others 0."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
-        for _, texts in text_batches(batches):
-            sets = {set_digest(s): s for s in map(shingler, texts) if len(s)}  # equal sets of a slice once
-            if sets:
-                firsts = [first_shingles(s, *shared.value, percent) for s in sets.values()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(firsts).view(np.int64)),
-                     pa.array(list(sets), pa.binary()).take(pa.array(np.repeat(np.arange(len(firsts)), [len(f) for f in firsts])))],
-                    names=["shingle", "sid"],
-                )
+        shingles, counts = shared.value
+        hot = shingles[counts >= hot_from]
+        for _, many in _slices(batches, width):
+            sets = {set_digest(s): s for s in many if len(s)}  # equal sets of a slice once
+            if not sets:
+                continue
+            firsts = [first_shingles(s, shingles, counts, percent) for s in sets.values()]
+            flat = np.concatenate(firsts)
+            owner = np.repeat(np.arange(len(firsts)), [len(f) for f in firsts])
+            salt = np.zeros(len(flat), np.int32)
+            if len(hot):
+                at = np.searchsorted(hot, flat)
+                at[at == len(hot)] = 0
+                own = np.array([1 + int.from_bytes(d[:2]) for d in sets], np.int32)
+                salt = np.where(hot[at] == flat, own[owner], 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(flat.view(np.int64)), pa.array(list(sets), pa.binary()).take(pa.array(owner)), pa.array(salt)],
+                names=["shingle", "sid", "salt"],
+            )
+
+    return docs.select("text").mapInArrow(run, "shingle long, sid binary, salt int")
 
-    return docs.select("text").mapInArrow(run, "shingle long, sid binary")
+
+def _meetings(postings: DataFrame) -> DataFrame:
+    """(sid, block): the sets that share a first shingle, with the smallest set that has it.
+
+    Postings are sorted in each partition once and read in a stream. Hot shingles, of which there are no more than
+    rows in the table of common ones, pass through and meet their smallest set by a broadcast of that size.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, block, alone = None, None, True  # the run that the last row belongs to
+        for batch in batches:
+            of = batch.column(0).to_numpy()
+            salted = batch.column(2).to_numpy() > 0
+            sids = batch.column(1)
+            begins = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            ends = np.append(begins[1:], len(of))
+            take, blocks, hot = [], [], []
+            for begin, end in zip(begins[(ends - begins > 1) | (begins == 0) | (ends == len(of)) | salted[begins]].tolist(),
+                                  ends[(ends - begins > 1) | (begins == 0) | (ends == len(of)) | salted[begins]].tolist()):
+                if salted[begin]:
+                    take += range(begin, end)
+                    blocks += [None] * (end - begin)
+                    hot += [int(of[begin])] * (end - begin)
+                    shingle = None
+                    continue
+                if shingle is None or of[begin] != shingle:
+                    shingle, block, alone = of[begin], sids[begin].as_py(), True
+                for k in range(begin, end):
+                    sid = sids[k].as_py()
+                    if sid != block:
+                        if alone:
+                            take.append(k)  # the row only carries the pair; its sid is replaced below
+                            blocks.append(block)
+                            hot.append(-1)
+                            alone = False
+                        take.append(k)
+                        blocks.append(block)
+                        hot.append(0)
+            sid = [b if h == -1 else s for s, b, h in zip(sids.take(pa.array(take, pa.int64())).to_pylist(), blocks, hot)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(sid, pa.binary()), pa.array(blocks, pa.binary()), pa.array([None if b is not None else h for h, b in zip(hot, blocks)], pa.int64())],
+                names=["sid", "block", "shingle"],
+            )
+
+    sent = postings.repartition("shingle", "salt").sortWithinPartitions("shingle", "sid")
+    met = materialise(sent.mapInArrow(run, "sid binary, block binary, shingle long").distinct(), "meetings")
+    hot = met.where("block is null").select("sid", "shingle")
+    least = hot.groupBy("shingle").agg(F.min("sid").alias("block"))
+    return met.where("block is not null").select("sid", "block").unionByName(hot.join(F.broadcast(least), "shingle").select("sid", "block")).distinct()
 
 
 def _block_links(percent: int):
     """Links of a block's sets, or between two of its parts, as (u, v) of digests."""
 
     def run(table: pa.Table) -> pa.Table:
-        order = sorted(range(table.num_rows), key=lambda k: (len_of[k], sid_of[k])) if (
-            (len_of := [len(s) // 8 for s in table["shingles"].to_pylist()]) and (sid_of := table["sid"].to_pylist())
-        ) else []
-        sets = table["shingles"].to_pylist()
-        block, u, v, names = Block(percent), [], [], []
-        for k in order:
-            for other in block.add(np.frombuffer(sets[k], np.uint64)):
-                u.append(sid_of[k])
-                v.append(names[other])
-            names.append(sid_of[k])
+        rows = sorted(zip(table["shingles"].to_pylist(), table["sid"].to_pylist()), key=lambda r: (len(r[0]), r[1]))
+        block, u, v = Block(percent), [], []
+        for shingles, sid in rows:
+            for other in block.add(np.frombuffer(shingles, np.uint64)):
+                u.append(sid)
+                v.append(rows[other][1])
         return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
 
     return run
 
 
+def _filter_places(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words and bits of the filter for digests given as rows of two 64-bit numbers; two places each."""
+    return digests % np.uint64(FILTER_WORDS), (digests >> np.uint64(40)) & np.uint64(63)
+
+
+def _wanted_filter(wanted: DataFrame) -> np.ndarray:
+    """A filter of fixed size that holds all digests of `wanted`: words of bits, or-ed in Spark by place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
+            word, bit = _filter_places(digests)
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array((np.uint64(1) << bit).view(np.int64))], names=["word", "bits"])
+
+    table = wanted.select("sid").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(FILTER_WORDS, np.uint64)
+    bits[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
+    return bits
+
+
 def _full_sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
-    """wanted (sid, block, part, of) with the shingles of each set, sorted, as bytes; one row per set."""
+    """(sid, shingles as sorted bytes), one row per set; the filter lets all wanted sets pass and few others."""
+    shared = docs.sparkSession.sparkContext.broadcast(_wanted_filter(wanted))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
-        for _, texts in text_batches(batches):
-            sets = {set_digest(s): s.tobytes() for s in map(shingler, texts) if len(s)}
-            yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.binary()), pa.array(list(sets.values()), pa.binary())], names=["sid", "shingles"])
+        bits = shared.value
+        for _, many in _slices(batches, width):
+            sets = {set_digest(s): s for s in many if len(s)}
+            if not sets:
+                continue
+            word, bit = _filter_places(np.frombuffer(b"".join(sets), np.uint64))
+            passed = ((bits[word] >> bit) & np.uint64(1)).reshape(-1, 2).all(1)
+            chosen = [(d, s.tobytes()) for (d, s), ok in zip(sets.items(), passed) if ok]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in chosen], pa.binary()), pa.array([b for _, b in chosen], pa.binary())], names=["sid", "shingles"])
 
-    texts = docs.join(wanted.select("id"), "id", "left_semi")
-    return texts.select("text").mapInArrow(run, "sid binary, shingles binary").groupBy("sid").agg(F.first("shingles").alias("shingles"))
+    return docs.select("text").mapInArrow(run, "sid binary, shingles binary").groupBy("sid").agg(F.first("shingles").alias("shingles"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS, percent: int = PERCENT,
-                    common_shingles: int = COMMON_SHINGLES, block_sets: int = BLOCK_SETS) -> DataFrame:
+                    common_shingles: int = COMMON_SHINGLES, hot_from: int = HOT_FROM, block_sets: int = BLOCK_SETS) -> DataFrame:
     """One row per document: the id column, n_shingles and component_id, the smallest id that links reach.
 
     Texts are lower-cased (A-Z); a text of fewer words than `width` has its whole sequence as its one shingle. Null,
@@ -311,25 +385,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     without an id belongs to its component but never names it. Other columns are not read. Shingles are compared
     by 64-bit hashes and whole sets by 128 bits.
     """
-    spark = docs.sparkSession
     source = docs.select(docs[id_col].alias("id"), docs[text].alias("text"))
     rows = materialise(_sets(source, width), "shingle-sets")
     often = _shingle_counts(source, width, percent).where(F.col("n") >= COMMON_FROM).orderBy(F.desc("n"), "shingle").limit(common_shingles).toArrow()
     shingle, count = often["shingle"].to_numpy().view(np.uint64), often["n"].to_numpy()
     order = np.argsort(shingle)
     common = (shingle[order], count[order])
-    postings = materialise(_postings(source, width, percent, common).distinct(), "first-shingles")
     # A block is the smallest set of some shingle with all sets that share such a shingle with it. Any two sets that
     # share a first shingle lie together in the block of its smallest set, so blocks need not be united.
-    least = postings.groupBy("shingle").agg(F.min("sid").alias("block"), F.count("*").alias("n")).where("n > 1").select("shingle", "block")
-    blocks = postings.join(least, "shingle").select("sid", "block").distinct()
+    blocks = _meetings(_postings(source, width, percent, common, hot_from))
     sized = blocks.groupBy("block").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("parts"))
     placed = materialise(
         blocks.join(sized, "block").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")), "shingle-blocks"
     )
-    # One document of each set that lies in a block gives the set's text.
-    givers = rows.where("sid is not null and id is not null").groupBy("sid").agg(F.min("id").alias("id")).join(placed, "sid", "left_semi")
-    full = _full_sets(source, width, givers)
+    full = _full_sets(source, width, placed.select("sid").distinct())
     dealt = full.join(placed, "sid").select(
         "sid", "shingles", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"), "part"
     ).select("sid", "shingles", "block", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
