@@ -102,8 +102,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     covered = F.array_distinct(F.flatten(F.transform(repeated, lambda v: F.array(v["i"], v["i"] + 1, v["i"] + 2))))
     step = step.withColumn("_q_l", F.filter(F.split(F.col("_q_text"), "\n"), lambda s: F.btrim(s, F.lit(SEPARATOR_CHARS)) != ""))
     stop = F.filter(w, lambda x: x.isin(*STOP_WORDS))
-    return step.select(
-        *[F.col(c) for c in kept],
+    counts = F.struct(
         F.size(w).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.regexp_count(F.col("_q_text"), F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -112,6 +111,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size(covered).cast("long").alias("n_repeat_words"),
         F.size(stop).cast("long").alias("n_stop_words"),
     )
+    # A generator of one row: a later filter on the counts stays above it. Pushed below, it would put the arrays'
+    # expressions in place of their names inside the lambdas and evaluate them for every element.
+    return step.select(*[F.col(c) for c in kept], F.inline(F.array(counts)))
 
 
 def compile_rules(rules: tuple[Rule, ...]) -> Column:
