@@ -52,10 +52,10 @@ RULES = (
 
 METRICS = {
     "n_words": lambda c: c("n_words"),
-    "mean_word_length": lambda c: c("word_chars") / c("n_words"),
-    "symbol_ratio": lambda c: c("n_symbols") / c("n_words"),
-    "stop_word_ratio": lambda c: c("n_stop_words") / c("n_words"),
-    "dup_line_ratio": lambda c: c("n_dup_lines") / c("n_lines"),
+    "mean_word_length": lambda c: F.try_divide(c("word_chars"), c("n_words")),
+    "symbol_ratio": lambda c: F.try_divide(c("n_symbols"), c("n_words")),
+    "stop_word_ratio": lambda c: F.try_divide(c("n_stop_words"), c("n_words")),
+    "dup_line_ratio": lambda c: F.try_divide(c("n_dup_lines"), c("n_lines")),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words")
 
