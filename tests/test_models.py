@@ -78,15 +78,25 @@ def test_row_blocks_cover_every_row(monkeypatch):
     assert whole.shape == (5, 6) and whole.sum() == 17 and whole[2, 2] == 3 and whole[4, 1] == 5
 
 
-def test_both_ways_of_adding_partial_sums_agree(spark, planted, fitted, monkeypatch):
-    vectored = fitted.vectorizer.tfidf(planted)
-    i, x = V.cells("tfidf")
-    cells = vectored.select(i.alias("indices"), x.alias("values")).repartition(4)
-    width = len(fitted.vectorizer.terms)
-    direct = nmf._summed(cells, lambda rows: list(S.transposed_times(rows, S.times(rows, np.eye(width)[:, :3]), width)))
-    monkeypatch.setattr(nmf, "_DIRECT_PARTITIONS", 1)
-    combined = nmf._summed(cells, lambda rows: list(S.transposed_times(rows, S.times(rows, np.eye(width)[:, :3]), width)))
-    assert np.allclose(direct, combined)
+def test_fits_do_not_depend_on_the_number_of_partitions(planted, fitted):
+    vectored = fitted.vectorizer.tfidf(planted.select("doc_id", "clean_text"), "tfidf")
+    fits = [nmf.fit_nmf(vectored.repartition(n), *V.cells("tfidf"), len(fitted.vectorizer.terms), 3).topic_term for n in (1, 7)]
+    np.testing.assert_allclose(fits[0], fits[1], atol=1e-6)
+
+
+@pytest.mark.parametrize("name", ["NMF", "LDA"])
+def test_new_texts_are_lemmatised_as_in_training(spark, planted, name, tmp_path):
+    table = spark.createDataFrame([("mortgages", "mortgage"), ("cats", "cat")], "word string, lemma string")
+    model = training.fit(planted.select("doc_id", "clean_text"), n_topics=3, models=[name], lemmas=table).models[name]
+    assert model.lemmas == [("mortgages", "mortgage")]
+    model.save(spark, str(tmp_path))
+    upload = spark.createDataFrame([("mortgages",), ("mortgage",)], "t string")
+    labels = spark.createDataFrame([], "model string, topic int, name string, style string")
+    plural, singular = (tuple(r)[1:] for r in SC.score_upload(upload, "t", TopicModel.load(spark, str(tmp_path)), labels).collect())
+    assert plural == singular and plural[1] > 0.5
+    spoken = spark.createDataFrame([("a", 1.0, "mortgages", ""), ("b", 1.0, "mortgage", "")], SC.TRANSCRIPT_SCHEMA)
+    rows = SC.score_transcripts(spoken, model, labels).orderBy("recording").collect()
+    assert rows[0]["topic_number"] == rows[1]["topic_number"] is not None and rows[0]["confidence"] == rows[1]["confidence"]
 
 
 def test_unknown_texts(spark, fitted):

@@ -97,7 +97,7 @@ def test_lines(spark, tmp_path):
 def test_rating_sheets(spark, tmp_path):
     head = "Code,Top 10 words,Word clarity (1-5),Example fit (1-5),Suggested name\n"
     (tmp_path / "ann lee.csv").write_text(head + "T01,w,4,3.5, Late fees \nT02,w,6,3,x\nEX,w,4,4,x\nT03,w,,2,\n")
-    (tmp_path / "bo.csv").write_text(head + "T01,w,2,3,Fees\nT09,w,3,3,\n")
+    (tmp_path / "bo.csv").write_text("Suggested name,Example fit (1-5),Code,Word clarity (1-5)\nFees,3,T01,2\n,3,T09,3\n")  # another order
     (tmp_path / "sheet_Template.csv").write_text(head + "T01,w,1,1,no\n")
     (tmp_path / "~$bo.csv").write_text(head + "T01,w,1,1,no\n")
     sheets = files.read_rating_sheets(spark, str(tmp_path / "*.csv"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.functions import constants as C
-from themeloom.operators import compare, corpus, distribution, labels, ratings, scoring
+from themeloom.operators import compare, corpus, distribution, labels, lemmas, ratings, scoring
 from themeloom.plans import evaluation, reports, training
 from themeloom.session import build_session
 from themeloom.sources import files
@@ -49,16 +49,19 @@ class Folder:
 def prepare(at: Folder, args) -> None:
     raw = files.read_complaints(at.spark, args.input)
     raw.write.mode("overwrite").parquet(at.path("raw"))  # split and keyed once
+    raw = at.spark.read.parquet(at.path("raw"))
+    chosen = dict(min_words=args.min_words, sample_size=args.sample_size)
+    narratives = corpus.select_narratives(raw, "narrative", "product", args.product, **chosen)
+    lemmas.lemma_table(narratives).write.mode("overwrite").parquet(at.path("lemmas"))  # training and scoring use it too
     clean = corpus.prepare(
-        at.spark.read.parquet(at.path("raw")), "narrative", "product", args.product,
-        min_words=args.min_words, sample_size=args.sample_size, lemmatise=True,
+        raw, "narrative", "product", args.product, lemmatise=at.spark.read.parquet(at.path("lemmas")), **chosen
     )
     clean.write.mode("overwrite").parquet(at.path("corpus"))
 
 
 def train(at: Folder, args) -> None:
     clean = at.corpus()
-    fitted = training.fit(clean, args.topics, min_df=args.min_df)
+    fitted = training.fit(clean, args.topics, lemmas=at.spark.read.parquet(at.path("lemmas")), min_df=args.min_df)
     fitted.save(at.spark, at.path("models"))
     fitted.doc_topic(clean).write.mode("overwrite").parquet(at.path("doc_topic"))
 
@@ -106,7 +109,7 @@ def compare_models(at: Folder, args) -> None:
     ).groupBy("model").pivot("Metric", ["Topic Coherence (c_v)", "Topic Diversity"]).agg(F.first("value")).toDF("model", "coherence", "diversity")
     topics = next(iter(at.fitted().models.values())).n_topics
     summary = distribution.summarize(distribution.topic_counts(at.doc_topic(), topics))
-    rated = at.table("interpretability_scores") if args.input else None
+    rated = at.table("interpretability_scores") if files.exists(at.spark, at.path("interpretability_scores")) else None
     compared = compare.comparison(compare.criteria_values(measured, rated, summary))
     at.write(compared.orderBy("position"), "model_comparison")
     compare.leads(compared).show(truncate=False)
@@ -137,7 +140,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--input", help="file or folder the job reads besides the data folder")
     parser.add_argument("--product")
     parser.add_argument("--min-words", type=int, default=C.MIN_WORDS)
-    parser.add_argument("--sample-size", type=int, default=C.SAMPLE_SIZE, help="0 keeps every narrative")
+    parser.add_argument("--sample-size", type=int, default=0, help="narratives drawn at most; 0 keeps every one")
     parser.add_argument("--topics", type=int, default=C.N_TOPICS)
     parser.add_argument("--min-df", type=int, default=C.MIN_DF)
     parser.add_argument("--model", choices=C.MODELS, default=C.MODELS[0])

@@ -46,6 +46,11 @@ NOUN_ENDINGS = [
     ("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"),
     ("shes", "sh"), ("men", "man"), ("ies", "y"),
 ]
+# Words on -s that are no plurals.
+INVARIANT_NOUNS = (
+    "news series species means perhaps always besides thus plus bus gas lens status bonus virus campus census focus "
+    "basis analysis crisis thesis physics mathematics economics politics ethics yes"
+).split()
 IRREGULAR_NOUNS = {
     "women": "woman", "children": "child", "feet": "foot", "teeth": "tooth", "geese": "goose",
     "mice": "mouse", "lives": "life", "wives": "wife", "knives": "knife", "selves": "self",

@@ -48,10 +48,10 @@ def select_narratives(
     product: str | None = None,
     id_col: str = "doc_id",
     min_words: int = C.MIN_WORDS,
-    sample_size: int | None = C.SAMPLE_SIZE,
+    sample_size: int | None = None,
     seed: int = C.SEED,
 ) -> DataFrame:
-    """Non-null narratives of one product with enough words, sampled before any cleaning."""
+    """Non-null narratives of one product with enough words; with a sample size, that many of them at most."""
     kept = raw.where(F.col(text_col).isNotNull())
     if product:
         kept = kept.where(F.col(product_col) == product)
@@ -62,7 +62,7 @@ def select_narratives(
 
 
 def preprocess(
-    df: DataFrame, text_col: str = "raw_text", lemmas: DataFrame | None = None, keep_empty: bool = True
+    df: DataFrame, text_col: str = "raw_text", lemmas: DataFrame | list[tuple[str, str]] | None = None, keep_empty: bool = True
 ) -> DataFrame:
     """Adds `clean_text`: content words joined by single spaces, lemmatised if a table is given.
 
@@ -73,7 +73,9 @@ def preprocess(
     if not keep_empty:
         clean = F.explode(F.filter(F.array(clean), lambda t: t != ""))
     cleaned = df.select("*", clean.alias("clean_text"))
-    return cleaned if lemmas is None else L.apply_lemmas(cleaned, lemmas)
+    if lemmas is None:
+        return cleaned
+    return L.apply_pairs(cleaned, lemmas) if isinstance(lemmas, list) else L.apply_lemmas(cleaned, lemmas)
 
 
 def prepare(
@@ -83,7 +85,7 @@ def prepare(
     product: str | None = None,
     id_col: str = "doc_id",
     min_words: int = C.MIN_WORDS,
-    sample_size: int | None = C.SAMPLE_SIZE,
+    sample_size: int | None = None,
     seed: int = C.SEED,
     lemmatise: bool | DataFrame = False,
 ) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from themeloom.functions import constants as C
 
-SMALLEST_FRACTION = 0.1  # every mini-batch is a scan of the cached rows, so batches grow with the corpus
+BATCH_FRACTION = 0.5  # of the corpus in a mini-batch, whatever its size: each batch is one scan of the cached rows
 
 
 def fit_lda(
@@ -20,14 +20,13 @@ def fit_lda(
     n_topics: int = C.N_TOPICS,
     seed: int = C.SEED,
     passes: int = C.LDA_PASSES,
-    batch: int = C.LDA_BATCH,
+    fraction: float = BATCH_FRACTION,
 ) -> LDAModel:
     """Fits topics on count vectors, which the caller keeps cached: every mini-batch scans them.
 
-    `passes` counts visits of the corpus, not mini-batches.
+    `passes` counts visits of the corpus, not mini-batches: there are passes / fraction of those.
     """
     rows = df.select(vector_col)
-    fraction = min(1.0, max(batch / max(rows.count(), 1), SMALLEST_FRACTION))
     prior = 1.0 / n_topics
     return LDA(
         k=n_topics, seed=seed, optimizer="online", featuresCol=vector_col,

@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 
 from themeloom.functions import constants as C
 from themeloom.functions import text as T
+from themeloom.session import materialise
 
 IN_TASK_ROWS = 200_000  # a larger lemma table is joined instead of travelling with the tasks
 _SALTS = 16
+BASE_SHARE = 0.1  # a base form must occur in this share of the documents its inflected form occurs in
 
 
 def lexicon_of(df: DataFrame, text_col: str = "raw_text") -> DataFrame:
-    """Distinct words of the cleaned text, stopwords and short words included."""
-    cleaned = T.clean_text(F.col(text_col))
-    return df.select(F.explode(F.split(cleaned, " ")).alias("word")).where("word <> ''").distinct()
+    """Words of the cleaned text, stopwords and short words included, and the documents that hold each."""
+    words = F.array_distinct(F.split(T.clean_text(F.col(text_col)), " "))
+    return df.select(F.explode(words).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("df"))
 
 
 def _forms(word: Column, irregular: dict[str, str]) -> Column:
@@ -26,7 +28,7 @@ def _forms(word: Column, irregular: dict[str, str]) -> Column:
     The word comes last because the default lexicon holds every surface form, also `firemen`.
     """
     endings = [
-        F.when(F.endswith(word, F.lit(end)), F.concat(F.substr(word, F.lit(1), F.length(word) - len(end)), F.lit(new)))
+        F.when(F.endswith(word, F.lit(end)) & (F.lit(end != "s") | ~F.endswith(word, F.lit("ss"))), F.concat(F.substr(word, F.lit(1), F.length(word) - len(end)), F.lit(new)))
         for end, new in C.NOUN_ENDINGS
     ]
     regular = F.filter(F.array(*endings, word), lambda f: f.isNotNull())
@@ -43,14 +45,21 @@ def lemma_table(
     lexicon: DataFrame | None = None,
     irregular: dict[str, str] | None = None,
 ) -> DataFrame:
-    """`(word, lemma)` for the words that change: the shortest candidate that the lexicon holds."""
+    """`(word, lemma)` for the words that change: the shortest candidate that the lexicon holds.
+
+    Of the corpus' own words, a base form counts only if it is in BASE_SHARE as many documents as the word itself, so
+    a rare typo changes nothing however large the corpus. A lexicon that is given is taken as it is.
+    """
     irregular = C.IRREGULAR_NOUNS if irregular is None else irregular
-    words = lexicon_of(df, text_col)
-    lexicon = words if lexicon is None else lexicon.select("word").distinct()
-    inflected = words.where(F.col("word").rlike("(?:s|men)$") | F.col("word").isin(list(irregular)))
-    forms = inflected.select("word", F.posexplode(_forms(F.col("word"), irregular)).alias("rank", "form"))
+    words = materialise(lexicon_of(df, text_col), "lexicon")
+    known = words if lexicon is None else lexicon.select("word").distinct().withColumn("df", F.lit(None).cast("long"))
+    inflected = words.where(F.col("word").rlike("(?:s|men)$") | F.col("word").isin(list(irregular))).where(
+        ~F.col("word").isin(C.INVARIANT_NOUNS)
+    )
+    forms = inflected.select("word", "df", F.posexplode(_forms(F.col("word"), irregular)).alias("rank", "form"))
     return (
-        forms.join(lexicon.select(F.col("word").alias("form")), "form", "left_semi")
+        forms.join(known.select(F.col("word").alias("form"), F.col("df").alias("base_df")), "form")
+        .where((F.col("form") == F.col("word")) | F.col("base_df").isNull() | (F.col("base_df") >= BASE_SHARE * F.col("df")))
         .groupBy("word")
         .agg(F.min_by("form", F.struct(F.length("form"), F.col("rank"))).alias("lemma"))
         .where(F.col("lemma") != F.col("word"))
@@ -92,5 +101,25 @@ def apply_lemmas(
         return _joined(df, pairs, id_col)
     if found.num_rows == 0:
         return df
-    replace = _in_task(found["word"].combine_chunks(), found["lemma"].combine_chunks())
-    return df.withColumn("clean_text", replace("clean_text"))
+    return apply_pairs(df, list(zip(found["word"].to_pylist(), found["lemma"].to_pylist())))
+
+
+def apply_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """The same with a list of bounded length, such as the words a model keeps; narrow, for any columns.
+
+    The array of one text is a barrier: later Arrow functions see a plain column and are not chained to this one.
+    """
+    if not pairs:
+        return df
+    words, lemmas = zip(*pairs)
+    replace = _in_task(pa.array(words, pa.string()), pa.array(lemmas, pa.string()))
+    kept = [c for c in df.columns if c != "clean_text"]
+    return df.select(*[F.col(f"`{c}`") for c in kept], F.explode(F.array(replace("clean_text"))).alias("clean_text"))
+
+
+def pairs_for(table: DataFrame, terms: list[str]) -> list[tuple[str, str]]:
+    """The pairs whose lemma is one of the terms' words: at most one per term, ending and irregular form."""
+    words = sorted({w for term in terms for w in term.split(" ")})
+    held = table.sparkSession.createDataFrame([(w,) for w in words], "lemma string")
+    found = table.select("word", "lemma").join(F.broadcast(held), "lemma", "left_semi").orderBy("word").collect()
+    return [(r["word"], r["lemma"]) for r in found]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,7 @@ class TopicModel:
     topic_term: np.ndarray  # topics x terms, bounded by the vocabulary limit
     lda: LDAModel | None = None
     objective: list[float] | None = None
+    lemmas: list[tuple[str, str]] = field(default_factory=list)  # words of new texts to put in place, bounded by the terms
 
     @property
     def n_topics(self) -> int:
@@ -70,6 +71,7 @@ class TopicModel:
         spark.createDataFrame(
             [(self.name, v.documents, list(v.ngram_range))], "name string, documents long, ngrams array<int>"
         ).coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+        spark.createDataFrame(self.lemmas, "word string, lemma string").coalesce(1).write.mode("overwrite").parquet(f"{path}/lemmas")
         if self.lda is not None:
             self.lda.write().overwrite().save(f"{path}/lda")
 
@@ -82,7 +84,8 @@ class TopicModel:
             [w["term"] for w in words], [w["df"] for w in words], about["documents"], tuple(about["ngrams"])
         )
         fitted = LocalLDAModel.load(f"{path}/lda") if about["name"] == "LDA" else None
-        return cls(about["name"], vectorizer, np.asarray([t["weights"] for t in topics]), fitted)
+        lemmas = [(r["word"], r["lemma"]) for r in spark.read.parquet(f"{path}/lemmas").orderBy("word").collect()]
+        return cls(about["name"], vectorizer, np.asarray([t["weights"] for t in topics]), fitted, lemmas=lemmas)
 
 
 def fit_model(

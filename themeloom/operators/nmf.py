@@ -7,6 +7,7 @@ two steps. W is never stored, so lineage does not grow and a lost executor costs
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -22,8 +23,6 @@ from themeloom.functions import constants as C
 from themeloom.functions import sparse as S
 
 _OVERSAMPLING, _POWER_PASSES = 10, 6
-_COMBINERS = 64
-_DIRECT_PARTITIONS = 64  # up to here the driver adds the tasks' arrays itself, a few megabytes in all
 
 
 @dataclass
@@ -51,9 +50,7 @@ def _summed(cells: DataFrame, per_block: Callable[[S.Rows], list[np.ndarray]]) -
             yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), arrays], ["slot", "part"])
 
     parts = cells.mapInArrow(partial, "slot int, part array<double>")
-    if cells.rdd.getNumPartitions() > _DIRECT_PARTITIONS:
-        parts = _combined(parts)
-    table = parts.toArrow()  # arrays of topics x vocabulary size, whatever the corpus holds
+    table = _combined(parts, math.isqrt(cells.rdd.getNumPartitions()) + 1).toArrow()  # arrays of topics x vocabulary size, whatever the corpus holds
     sums: dict[int, np.ndarray] = {}
     for batch in table.to_batches():
         for slot, part in zip(batch["slot"].to_pylist(), batch["part"]):
@@ -62,10 +59,10 @@ def _summed(cells: DataFrame, per_block: Callable[[S.Rows], list[np.ndarray]]) -
     return [sums[slot] for slot in sorted(sums)]
 
 
-def _combined(parts: DataFrame) -> DataFrame:
-    """Adds up the tasks' arrays in two steps, so that no reducer receives one from every task."""
+def _combined(parts: DataFrame, combiners: int) -> DataFrame:
+    """Adds up the tasks' arrays in two steps of about equal width, so that no reducer receives one from every task."""
     vectors = parts.select(
-        "slot", F.pmod(F.spark_partition_id(), F.lit(_COMBINERS)).alias("combiner"), array_to_vector("part").alias("part")
+        "slot", F.pmod(F.spark_partition_id(), F.lit(combiners)).alias("combiner"), array_to_vector("part").alias("part")
     )
     first = vectors.groupBy("slot", "combiner").agg(Summarizer.sum(F.col("part")).alias("part"))
     return first.groupBy("slot").agg(vector_to_array(Summarizer.sum(F.col("part"))).alias("part"))
@@ -152,7 +149,7 @@ def _row_solutions(cells: DataFrame, h: np.ndarray, width: int) -> tuple[np.ndar
     columns = np.ascontiguousarray(h.T)
 
     def solve(rows: S.Rows) -> list[np.ndarray]:
-        w = S.non_negative_least_squares(S.times(rows, columns), topics_gram, tolerance=1e-4, max_sweeps=50)
+        w = S.non_negative_least_squares(S.times(rows, columns), topics_gram)
         return list(np.hstack([S.transposed_times(rows, w, width), w.T @ w]))
 
     sums = np.stack(_summed(cells, solve))

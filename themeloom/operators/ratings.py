@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CODE_PATTERN = r"^T\d{2}$"  # fixed value: at most 100 codes, which bounds the key
+CODE_PATTERN = r"^T\d{2,}$"  # a code has two digits or, past 99 topics, more
 
 
 def _score(column: str) -> Column:

@@ -23,8 +23,11 @@ TRANSCRIPT_SCHEMA = "recording string, seconds double, transcript string, note s
 
 
 def infer_texts(df: DataFrame, text_col: str, model: TopicModel, lemmas: DataFrame | None = None) -> DataFrame:
-    """Adds `clean_text`, `known_terms` and `weights`; a null text counts as empty. No shuffle."""
-    return model.infer(K.preprocess(df, text_col, lemmas))
+    """Adds `clean_text`, `known_terms` and `weights`; a null text counts as empty. No shuffle.
+
+    Words are lemmatised as in training, with the pairs the model keeps unless a table is given.
+    """
+    return model.infer(K.preprocess(df, text_col, model.lemmas if lemmas is None else lemmas))
 
 
 def place(inferred: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from themeloom.functions import constants as C
 from themeloom.operators import features as X
+from themeloom.operators import lemmas as L
 from themeloom.operators.models import TopicModel, fit_model
 
 _VECTORS = {"LDA": "counts", "NMF": "tfidf"}
@@ -49,13 +50,21 @@ def vectors(corpus: DataFrame, vectorizer: X.Vectorizer, models: list[str]) -> D
 
 
 def fit(
-    corpus: DataFrame, n_topics: int = C.N_TOPICS, models: list[str] = C.MODELS, seed: int = C.SEED, **vocabulary
+    corpus: DataFrame, n_topics: int = C.N_TOPICS, models: list[str] = C.MODELS, seed: int = C.SEED,
+    lemmas: DataFrame | None = None, **vocabulary,
 ) -> Fitted:
-    """Fits the named models on a clean corpus; `vocabulary` passes limits to the vectoriser."""
+    """Fits the named models on a clean corpus; `vocabulary` passes limits to the vectoriser.
+
+    `lemmas` is the table the corpus was lemmatised with; the models keep the part that new texts need.
+    """
     vectorizer = X.fit_vectorizer(corpus, **vocabulary)
     kept = vectors(corpus, vectorizer, models)
+    pairs = [] if lemmas is None else L.pairs_for(lemmas, list(vectorizer.terms))
     try:
-        return Fitted(vectorizer, {name: fit_model(name, kept, vectorizer, n_topics, seed) for name in models})
+        fitted = {name: fit_model(name, kept, vectorizer, n_topics, seed) for name in models}
+        for model in fitted.values():
+            model.lemmas = pairs
+        return Fitted(vectorizer, fitted)
     finally:
         kept.unpersist()
 

@@ -67,11 +67,12 @@ def upload_text(df: DataFrame, text_col: str) -> DataFrame:
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """Topic labels from a JSON file; a missing or broken file gives an empty table."""
-    found = _exists(spark, path)
+    found = exists(spark, path)
     return parse_labels(spark.read.text(path, wholetext=True) if found else spark.createDataFrame([], "value string"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path holds anything that Spark can read."""
     try:
         spark.read.text(path)
         return True
@@ -82,13 +83,26 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_rating_sheets(spark: SparkSession, path: str) -> DataFrame:
-    """Raters' sheets saved as CSV, one file per rater; templates and lock files are left out."""
-    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
-    name = F.element_at(F.split("_metadata.file_path", "/"), -1)
-    rated = raw.select(
-        F.regexp_replace(F.url_decode(name), r"\.[^.]*$", "").alias("rater"),
-        *[or_missing(F.col(f"`{c}`")).alias(n) for c, n in SHEET_COLUMNS.items()],
+    """Raters' sheets saved as CSV, one file per rater; templates and lock files are left out.
+
+    Columns are found by name: files are grouped by their header line, and each group is read with its own.
+    """
+    header = F.regexp_extract(F.decode("content", "UTF-8"), r"^\x{FEFF}?([^\r\n]*)", 1)
+    groups = (
+        spark.read.format("binaryFile").load(path).where("length > 0")
+        .groupBy(header.alias("header")).agg(F.collect_list("path").alias("paths")).orderBy("header").collect()
     )
+    name = F.element_at(F.split("_metadata.file_path", "/"), -1)
+    rated = None
+    for group in groups:
+        sheet = spark.read.csv(group["paths"], header=True, multiLine=True, quote='"', escape='"')
+        part = sheet.select(
+            F.regexp_replace(F.url_decode(name), r"\.[^.]*$", "").alias("rater"),
+            *[or_missing(F.col(f"`{c}`")).alias(n) for c, n in SHEET_COLUMNS.items()],
+        )
+        rated = part if rated is None else rated.unionByName(part)
+    if rated is None:
+        raise ValueError(f"no rating sheet in {path}")
     return rated.where(~F.upper("rater").contains("TEMPLATE") & ~F.col("rater").startswith("~$"))
 
 

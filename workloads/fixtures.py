@@ -13,14 +13,6 @@ from themeloom.operators import corpus as K
 from themeloom.session import materialise, spread
 
 TOPICS = 11
-# Names for the stand-in topics. Topic 4 has a style but the default name, topic 9 neither.
-TOPIC_NAMES = {
-    0: ("Credit reports", "Complaint issue"), 1: ("Dispute letters", "Legal template"),
-    2: ("Unknown accounts", "Complaint issue"), 3: ("Validation requests", "Complaint issue"),
-    4: ("Topic 4", "Legal template"), 5: ("Contracts", None), 6: ("Amounts", "Legal template"),
-    7: ("Phone calls", "Narrative account"), 8: ("Identity theft", "Narrative account"),
-    10: ("Cease requests", "Complaint issue"),
-}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,9 +33,18 @@ def stored_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(corpus(spark, sf_dir).select("doc_id", "clean_text"), "corpus")
 
 
-def labels(spark: SparkSession) -> DataFrame:
-    rows = [(m, t, n, s) for m in ("NMF", "LDA") for t, (n, s) in TOPIC_NAMES.items() if m == "NMF" or t < 2]
-    return spark.createDataFrame(rows, "model string, topic int, name string, style string")
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and styles of the stand-in topics, from the sources of documents.
+
+    Topic 4 has the default name, topic 5 no style, topic 9 no label, and the second model labels for two topics only.
+    """
+    topic = F.substring("source", 4, 9).cast("int")
+    named = table(spark, sf_dir, "documents").select("source", topic.alias("topic")).distinct().where("topic < 11 AND topic <> 9")
+    return named.select(
+        F.explode(F.array(F.lit("NMF"), F.lit("LDA"))).alias("model"), "topic",
+        F.when(F.col("topic") == 4, "Topic 4").otherwise(F.concat(F.lit("Source "), "source")).alias("name"),
+        F.when(F.col("topic") != 5, F.concat(F.lit("Style "), (F.col("topic") % 3).cast("string"))).alias("style"),
+    ).where("model = 'NMF' OR topic < 2")
 
 
 def doc_topic(spark: SparkSession, sf_dir: str) -> DataFrame:

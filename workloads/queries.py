@@ -276,7 +276,7 @@ def topic_counts_present(spark, sf_dir):
 
 @query
 def topic_distribution(spark, sf_dir):
-    return D.distribution_table(_counts(spark, sf_dir), X.labels(spark))
+    return D.distribution_table(_counts(spark, sf_dir), X.labels(spark, sf_dir))
 
 
 @query
@@ -289,17 +289,17 @@ def distribution_summary(spark, sf_dir):
 
 @query
 def distribution_metrics(spark, sf_dir):
-    return D.summary_table(_counts(spark, sf_dir), X.labels(spark))
+    return D.summary_table(_counts(spark, sf_dir), X.labels(spark, sf_dir))
 
 
 @query
 def style_share(spark, sf_dir):
-    return D.style_share(_counts(spark, sf_dir), X.labels(spark)).select("model", "writing_style", "documents", r6("share"))
+    return D.style_share(_counts(spark, sf_dir), X.labels(spark, sf_dir)).select("model", "writing_style", "documents", r6("share"))
 
 
 @query
 def executive_facts(spark, sf_dir):
-    return D.executive_facts(_counts(spark, sf_dir), X.labels(spark)).withColumn("top_pct", F.round("top_pct", 6))
+    return D.executive_facts(_counts(spark, sf_dir), X.labels(spark, sf_dir)).withColumn("top_pct", F.round("top_pct", 6))
 
 
 @query
@@ -395,7 +395,7 @@ def topic_map_saliency(spark, sf_dir):
 
 @query
 def topic_map_relevance(spark, sf_dir):
-    return TM.relevance(_map_frequencies(spark, sf_dir), [0.0, 0.25, 0.6, 1.0]).select(
+    return TM.relevance(_map_frequencies(spark, sf_dir)).select(
         "model", "topic", "lambda", "term", r6("relevance")
     )
 
@@ -451,7 +451,7 @@ def upload_assignments(spark, sf_dir):
         X.doc_topic(spark, sf_dir).where("model = 'NMF'").select("doc_id", "weights"), "doc_id"
     )
     placed = S.place(upload.withColumn("clean_text", F.lit("")).withColumn("known_terms", F.lit(1)))
-    return S.name_assignments(placed, "NMF", X.labels(spark), X.TOPICS)
+    return S.name_assignments(placed, "NMF", X.labels(spark, sf_dir), X.TOPICS)
 
 
 @query
@@ -459,19 +459,19 @@ def score_upload(spark, sf_dir):
     corpus = X.stored_corpus(spark, sf_dir)
     fitted = training.fit(corpus, models=["NMF"]).models["NMF"]
     upload = X.documents(spark, sf_dir).select("doc_id", "source", "text")
-    return S.score_upload(upload, "text", fitted, X.labels(spark)).drop("text")
+    return S.score_upload(upload, "text", fitted, X.labels(spark, sf_dir)).drop("text")
 
 
 @query
 def score_transcripts(spark, sf_dir):
     fitted = training.fit(X.stored_corpus(spark, sf_dir), models=["NMF"]).models["NMF"]
-    scored = S.score_transcripts(X.transcripts(spark, sf_dir), fitted, X.labels(spark))
+    scored = S.score_transcripts(X.transcripts(spark, sf_dir), fitted, X.labels(spark, sf_dir))
     return scored.select("recording", "length_seconds", "note", F.col("topic_number").isNotNull().alias("placed"))
 
 
 @query
 def report_tables(spark, sf_dir):
-    return S.report_table(X.doc_topic(spark, sf_dir), X.topic_term(spark, sf_dir), X.labels(spark), X.TOPICS)
+    return S.report_table(X.doc_topic(spark, sf_dir), X.topic_term(spark, sf_dir), X.labels(spark, sf_dir), X.TOPICS)
 
 
 @query
