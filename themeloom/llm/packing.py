@@ -12,6 +12,7 @@ ranks and places the pieces.
 from __future__ import annotations
 
 import bisect
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ from themeloom.llm.common import WORD, BoundedCache, materialise, text_batches
 
 MAX_TOKENS = 4096
 END_ID = 1
-WORD_LIMIT = 150_000
+WORD_LIMIT = 500_000
 PIECES = "id {id}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -48,7 +49,8 @@ class WordEncoder:
         self.words: dict[str, bytes] = BoundedCache(self._word, WORD_LIMIT)
 
     def _word(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def learn(self, words: set[str]) -> None:
         """Encodes the unknown ones of a slice's words in one call."""
@@ -57,7 +59,8 @@ class WordEncoder:
             self.words.clear()
             new = list(words)
         for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.words[word] = np.array(found.ids, "<u4").tobytes()
+            ids = found.ids
+            self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, words: list[str]) -> bytes:
         """Little-endian unsigned 32-bit ids."""
