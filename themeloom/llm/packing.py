@@ -12,22 +12,25 @@ ranks and places the pieces.
 from __future__ import annotations
 
 import bisect
+import os
 import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from themeloom.llm.common import WORD, BoundedCache, materialise, text_batches
+from themeloom.llm.common import materialise
 
 MAX_TOKENS = 4096
 END_ID = 1
-WORD_LIMIT = 500_000
+MEMO_WORDS = 300_000  # of each of the two generations
+SLICE_ROWS = 256
 PIECES = "id {id}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -35,7 +38,7 @@ class WordEncoder:
     """Encodes white-space separated words with a tokenizer that drops white space, remembering met words.
 
     The tokenizer's normalisation and pre-tokenization never reach across ASCII white space, which
-    `drops_white_space` tests when the file is opened, so a text's ids are those of its words in a row.
+    a probe tests when the file is opened, so a text's ids are those of its words in a row.
     """
 
     def __init__(self, path: str):
@@ -46,29 +49,30 @@ class WordEncoder:
         apart = [i for w in probe for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
         if self.tokenizer.encode(" \t".join(probe), add_special_tokens=False).ids != apart:
             raise ValueError("the tokenizer does not drop white space between words")
-        self.words: dict[str, bytes] = BoundedCache(self._word, WORD_LIMIT)
-
-    def _word(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def learn(self, words: set[str]) -> None:
-        """Encodes the unknown ones of a slice's words in one call."""
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > WORD_LIMIT:
-            self.words.clear()
-            new = list(words)
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            ids = found.ids
-            self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
-
-    def encode(self, words: list[str]) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        return b"".join(map(self.words.__getitem__, words))
+        self.recent: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of a slice's words, as little-endian unsigned 32-bit numbers; unknown words are encoded in one call.
+
+        A full generation becomes the older one and words met again come back from it, so words that occur once
+        push out no frequent ones.
+        """
+        if len(self.recent) >= MEMO_WORDS:
+            self.recent, self.before = {}, self.recent
+        recent, before = self.recent, self.before
+        unmet = [w for w in words if w not in recent]
+        recent.update((w, before[w]) for w in unmet if w in before)
+        new = [w for w in unmet if w not in before]
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
+        for word, ids in zip(new, (e.ids for e in found)):
+            recent[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return recent
 
 
 @lru_cache(maxsize=1)
 def word_encoder(path: str) -> WordEncoder:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already fill the cores
     return WordEncoder(path)
 
 
@@ -79,12 +83,14 @@ def tokenized_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = word_encoder(path)
-        for part, texts in text_batches(batches, 256):
-            split = [WORD.findall(t) for t in texts]
-            own.learn({w for words in split for w in words})
+        slices = (batch.slice(at, SLICE_ROWS) for batch in batches for at in range(0, batch.num_rows, SLICE_ROWS))
+        for part in slices:
+            # Bytes split at ASCII white space alone, which is what separates words.
+            split = [t.split() if t else [] for t in part.column(1).cast(pa.large_binary()).to_pylist()]
+            ids_of = own.learn(set(chain.from_iterable(split)))
             row, piece, start, length, crc = [], [], [], [], []
             for k, words in enumerate(split):
-                ids = own.encode(words) + end
+                ids = b"".join(map(ids_of.__getitem__, words)) + end
                 for n, at in enumerate(range(0, len(ids), 4 * max_tokens)):
                     own_ids = ids[at : at + 4 * max_tokens]
                     row.append(k)
