@@ -44,15 +44,22 @@ def text_batches(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> I
 
 
 class BoundedCache(dict):
-    """A memo that is emptied when it holds `limit` entries: it bounds memory and never changes a result."""
+    """A memo of two generations of at most `limit` entries each: it bounds memory and never changes a result.
+
+    A full generation becomes the older one. Entries met again come back from there, so keys that occur once push
+    out no frequent ones.
+    """
 
     def __init__(self, compute: Callable, limit: int):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.older = compute, limit, {}
 
     def __missing__(self, key):
-        value = self.compute(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
         self[key] = value
         return value
