@@ -25,10 +25,14 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on labelled ones among them, takes for good."""
+    """Documents that the classifier, fitted on labelled ones of the whole input, takes for good.
+
+    Those that are left have passed the rules, so few or none of the bad examples are among them.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     whole = docs.select(F.struct("*").alias("_row"), "doc_id", "text", "n_chars")
-    return factorisation.classify(whole, labels).where("predicted = 1").select("_row.*")
+    every = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "n_chars")
+    return factorisation.classify(whole, labels, training=every).where("predicted = 1").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

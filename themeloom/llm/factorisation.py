@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeloom.llm.common import WORD, BoundedCache, remainder
@@ -132,19 +132,23 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_metad
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, label: str, held_out: Column, max_rows: int) -> DataFrame:
-    """At most max_rows labelled documents, drawn by a hash of the id; ids labelled twice take the majority.
+    """At most max_rows labelled documents, as many of either class as there are, drawn by a hash of the id.
 
-    Only the labels are sorted, down to max_rows ids; those are few by the bound and meet the documents by broadcast.
+    Ids labelled twice take the majority. Labels meet the documents' ids first, so those without a document take no
+    place in the sample; each class is sorted down to max_rows ids, and the chosen ones meet the texts by broadcast.
     """
     one = (
         labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull())
         .groupBy(id_col).agg((F.avg(label) >= 0.5).cast("double").alias("_label"))
         .where(~held_out)
-        .orderBy(F.xxhash64(id_col), id_col)
-        .limit(max_rows)
-        .select(F.col(id_col).alias("_labelled"), "_label")
+        .join(docs.select(id_col), id_col, "left_semi")
+        .withColumn("_draw", F.xxhash64(id_col))
     )
-    return docs.join(F.broadcast(one), F.col(id_col) == F.col("_labelled"))
+    low, high = (one.where(F.col("_label") == k).orderBy("_draw", id_col).limit(max_rows) for k in (0.0, 1.0))
+    nth = F.row_number().over(Window.partitionBy("_label").orderBy("_draw", id_col))  # of at most max_rows each
+    chosen = low.unionByName(high).withColumn("_nth", nth).orderBy("_nth", "_label").limit(max_rows)
+    chosen = chosen.select(F.col(id_col).alias("_labelled"), "_label")
+    return docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_labelled"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality",
@@ -208,9 +212,13 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", metadata: tuple
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality",
-             metadata: tuple[str, ...] = ("n_chars",), folds: int = 3, held: int = 1) -> DataFrame:
-    """Learns from the labelled rows outside the held-out fold and scores all; adds held_out, score, predicted."""
+             metadata: tuple[str, ...] = ("n_chars",), folds: int = 3, held: int = 1,
+             training: DataFrame | None = None) -> DataFrame:
+    """Learns from the labelled rows of `training` (None: docs) outside the held-out fold and scores all of docs.
+
+    Adds held_out, score and predicted.
+    """
     held_out = remainder(F.col(id_col), folds) == held
-    machine = fit(docs, labels, id_col, text, label, metadata, held_out)
+    machine = fit(docs if training is None else training, labels, id_col, text, label, metadata, held_out)
     source = docs.drop("held_out")
     return score(source.withColumn("held_out", held_out), machine, text, metadata)
