@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.llm import (
-    factorisation, jaccard_join, licences, line_dedup, packing, piece_encoding, quality_rules, suffix_tree, token_transducer,
-    vector_dedup,
+    conversation_repair, factorisation, jaccard_join, licences, line_dedup, packing, piece_encoding, prefix_trie, quality_rules,
+    sharding, suffix_tree, token_transducer, vector_dedup,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,3 +86,20 @@ def op7_jaccard_join(spark, sf_dir):
 @query
 def op4_suffix_tree(spark, sf_dir):
     return suffix_tree.score_documents(documents(spark, sf_dir))
+
+
+@query
+def op11_rendezvous_shards(spark, sf_dir):
+    placed = sharding.place(documents(spark, sf_dir), sharding.equal_weights(8), grown=sharding.equal_weights(9))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+@query
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.graft(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@query
+def op13_structure_repair(spark, sf_dir):
+    damaged = conversation_repair.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversation_repair.repair(damaged)
