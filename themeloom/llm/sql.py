@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from themeloom.llm import licences
+from themeloom.llm import licences, sql_structure
 
 _OP1 = r"""
 WITH lines AS (
@@ -109,5 +109,5 @@ SELECT doc_id, length(codes)::BIGINT AS n_sentences, length(replace(codes, '.',
 def statements() -> dict[str, str]:
     return {
         "op1_line_dedup": _OP1, "op2_quality_rules": _OP2.replace("{stop}", _STOP), "op7_jaccard_join": _OP7,
-        "op9_licences": _op9(), "op10_near_vectors": _OP10,
+        "op9_licences": _op9(), "op10_near_vectors": _OP10, **sql_structure.statements(),
     }
