@@ -125,6 +125,33 @@ def test_recordings_are_transcribed_once_per_content(spark, tmp_path):
     assert rows == {"a.wav": ("hello", ""), "b.wav": ("hello", ""), "c.wav": ("", "Couldn't read this file (ValueError)")}
 
 
+def test_staged_recordings(spark, tmp_path):
+    from themeloom.sources import recordings as RC
+    sound = {"a b.wav": b"hello", "c[1].wav": b"hello", "p+q%20.wav": b"bad", "zero.wav": b"", "nil.wav": b"", "other.txt": b"x", "quiet.wav": b"  "}
+    for name, content in sound.items():
+        (tmp_path / name).write_bytes(content)
+    staged = RC.stage(spark, str(tmp_path), "*.wav")
+    assert sorted((r["recording"], r["bytes"]) for r in staged.collect()) == sorted((n, len(c)) for n, c in sound.items() if n != "other.txt")
+    assert sorted(bytes(r["content"]) for r in RC.contents(staged).collect()) == [b"", b"  ", b"bad", b"hello"]
+    (tmp_path / "quiet.wav").unlink()
+
+    def fake(content):
+        if content == b"bad":
+            raise ValueError("unreadable")
+        if not content:
+            raise EOFError("nothing")
+        return content.decode(), 2.0
+
+    rows = {r["recording"]: (r["transcript"], r["note"]) for r in S.transcribe_files(staged, fake).collect()}
+    note = "Couldn't read this file ({})"
+    assert rows == {
+        "a b.wav": ("hello", ""), "c[1].wav": ("hello", ""), "p+q%20.wav": ("", note.format("ValueError")), "zero.wav": ("", note.format("EOFError")),
+        "nil.wav": ("", note.format("EOFError")), "quiet.wav": ("", note.format("FileNotFoundError")),
+    }
+    again = S.transcribe(spark.createDataFrame([("x", b"hello"), ("x", b"hello"), ("y", None)], "recording string, content binary"), fake)
+    assert sorted((r["recording"], r["transcript"]) for r in again.collect()) == [("x", "hello"), ("x", "hello"), ("y", "")]
+
+
 def test_transcript_notes_in_order_of_precedence(spark):
     rows = [("a", "", "Couldn't read this file (X)", 0), ("b", "  ", "", 0), ("c", "zebra", "", 0), ("d", "loan", "", 1)]
     df = spark.createDataFrame(rows, "recording string, transcript string, note string, known_terms int").select(

@@ -91,6 +91,20 @@ def test_lemmas_take_the_shortest_known_form_on_both_paths(spark):
     assert narrow[0] == "account ad"  # tested against stopwords and length before lemmatising
 
 
+def test_lemmas_of_any_table_size_and_any_rows(spark):
+    pairs = [("cats", "cat"), ("cat", "feline"), ("dogs", "dog"), ("xs", "cats"), ("mice", "mouse")]
+    table = spark.createDataFrame(pairs, "word string, lemma string")
+    texts = ["cats cat dogs", "xs mice mice zebra", "", None, "zebra zebra", "cats cat dogs"] + ["zebra cat"] * 20
+    rows = [(1, t, f"n{i % 2}") for i, t in enumerate(texts)]  # one id on every row, repeated rows
+    df = spark.createDataFrame(rows, "doc_id long, clean_text string, `word` string")
+    lemma = dict(pairs)
+    expected = [(1, f"n{i % 2}", None if t is None else " ".join(lemma.get(w, w) for w in t.split(" "))) for i, t in enumerate(texts)]
+    for travelling in (100, 4, 1):
+        got = L.apply_lemmas(df, table, in_task_rows=travelling).select("doc_id", "word", "clean_text").collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(expected, key=repr), travelling
+    assert L.apply_lemmas(df.where("false"), table, in_task_rows=1).count() == 0
+
+
 def test_rare_typos_and_invariant_nouns_leave_lemmas_alone(spark):
     texts = ["business address process news loss houses"] * 40 + ["house"] * 30 + ["busines addres proces new los"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, raw_text string")

@@ -1,12 +1,13 @@
 """The analytics as jobs: `spark-submit ... -m themeloom <job> --data FOLDER [options]`, or `python -m themeloom`.
 
 Every job reads and writes tables in one data folder, so that jobs can run one after another:
-prepare -> train -> sweep, metrics, distribution, maps, rating-sheet -> score-ratings, compare; score.
+prepare -> train -> sweep, metrics, distribution, overview, maps, rating-sheet -> score-ratings, compare; score, transcripts.
 """
 
 from __future__ import annotations
 
 import argparse
+import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from themeloom.functions import constants as C
 from themeloom.operators import compare, corpus, distribution, labels, lemmas, ratings, scoring
 from themeloom.plans import evaluation, reports, training
-from themeloom.session import build_session
-from themeloom.sources import files
+from themeloom.session import build_session, materialise
+from themeloom.sources import files, recordings
 
 
 class Folder:
@@ -36,6 +37,9 @@ class Folder:
     def fitted(self) -> training.Fitted:
         return training.load(self.spark, self.path("models"))
 
+    def topics(self) -> dict[str, int]:
+        return {name: model.n_topics for name, model in self.fitted().models.items()}
+
     def labels(self) -> DataFrame:
         return files.read_labels(self.spark, self.path("topic_labels.json"))
 
@@ -77,8 +81,7 @@ def metrics(at: Folder, args) -> None:
 
 
 def spread(at: Folder, args) -> None:
-    topics = next(iter(at.fitted().models.values())).n_topics
-    per_topic, per_model = reports.distribution(at.doc_topic(), at.labels(), topics)
+    per_topic, per_model = reports.distribution(at.doc_topic(), at.labels(), at.topics())
     at.write(per_topic.orderBy("model", "topic"), "topic_distribution")
     at.write(per_model, "distribution_metrics")
 
@@ -107,8 +110,7 @@ def compare_models(at: Folder, args) -> None:
     measured = wide.select(
         F.explode(F.create_map(F.lit("LDA"), "LDA", F.lit("NMF"), "NMF")).alias("model", "value"), "Metric"
     ).groupBy("model").pivot("Metric", ["Topic Coherence (c_v)", "Topic Diversity"]).agg(F.first("value")).toDF("model", "coherence", "diversity")
-    topics = next(iter(at.fitted().models.values())).n_topics
-    summary = distribution.summarize(distribution.topic_counts(at.doc_topic(), topics))
+    summary = distribution.summarize(distribution.topic_counts(at.doc_topic(), at.topics()))
     rated = at.table("interpretability_scores") if files.exists(at.spark, at.path("interpretability_scores")) else None
     compared = compare.comparison(compare.criteria_values(measured, rated, summary))
     at.write(compared.orderBy("position"), "model_comparison")
@@ -122,6 +124,22 @@ def score(at: Folder, args) -> None:
     files.write_csv(scored, at.path("topic_assignments"))
 
 
+def overview(at: Folder, args) -> None:
+    for name, table in reports.overview(at.fitted(), at.doc_topic(), at.corpus(), at.labels()).items():
+        at.write(table, f"reports/{name}")
+
+
+def transcripts(at: Folder, args) -> None:
+    """Recordings of a folder to the export table, and recordings per topic once two of them are placed."""
+    module, _, function = args.transcriber.partition(":")
+    speech = getattr(importlib.import_module(module), function)
+    staged = recordings.stage(at.spark, args.input, args.pattern)
+    spoken = scoring.transcribe_files(staged, speech)
+    scored = materialise(scoring.score_transcripts(spoken, at.fitted().models[args.model], at.labels()), "scored-transcripts")
+    files.write_csv(scored, at.path("voice_complaint_topics"))
+    at.write(scoring.transcript_distribution(scored).orderBy("topic"), "voice_topic_counts")
+
+
 def export_labels(at: Folder, args) -> None:
     files.write_text(labels.export_labels(at.labels(), C.MODELS), at.path("topic_labels_export"))
 
@@ -129,7 +147,7 @@ def export_labels(at: Folder, args) -> None:
 JOBS = {
     "prepare": prepare, "train": train, "sweep": sweep, "metrics": metrics, "distribution": spread, "maps": maps,
     "rating-sheet": rating_sheet, "score-ratings": score_ratings, "compare": compare_models, "score": score,
-    "export-labels": export_labels,
+    "overview": overview, "transcripts": transcripts, "export-labels": export_labels,
 }
 
 
@@ -145,6 +163,8 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--min-df", type=int, default=C.MIN_DF)
     parser.add_argument("--model", choices=C.MODELS, default=C.MODELS[0])
     parser.add_argument("--text-col", help="column of an uploaded CSV; without it the upload is text lines")
+    parser.add_argument("--transcriber", help="module:function from a recording's bytes to (text, seconds)")
+    parser.add_argument("--pattern", default="*", help="names of recordings to read, such as *.wav")
     args = parser.parse_args(argv)
     JOBS[args.job](Folder(build_session(), args.data), args)
 

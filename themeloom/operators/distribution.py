@@ -10,15 +10,16 @@ from themeloom.operators.labels import with_labels
 from themeloom.operators.topics import assign
 
 
-def topic_counts(doc_topic: DataFrame, topics: int | None = None) -> DataFrame:
-    """`(model, topic, documents)`. With `topics`, every topic of every model appears, empty ones as 0."""
+def topic_counts(doc_topic: DataFrame, topics: int | dict[str, int] | None = None) -> DataFrame:
+    """`(model, topic, documents)`. With `topics`, one number or one per model, every topic appears, empty ones as 0."""
     counts = assign(doc_topic).groupBy("model", "topic").agg(F.count("*").alias("documents"))
     if topics is None:
         return counts
     held = counts.groupBy("model").agg(
         F.map_from_entries(F.collect_list(F.struct("topic", "documents"))).alias("held")  # one entry per topic
     )
-    return held.select("model", "held", F.explode(F.sequence(F.lit(0), F.lit(topics - 1))).alias("topic")).select(
+    last = F.create_map(*[F.lit(x) for pair in topics.items() for x in pair])[F.col("model")] if isinstance(topics, dict) else F.lit(topics)
+    return held.select("model", "held", F.explode(F.sequence(F.lit(0), last - 1)).alias("topic")).select(
         "model", "topic", F.coalesce(F.try_element_at("held", F.col("topic")), F.lit(0)).cast("long").alias("documents")
     )
 

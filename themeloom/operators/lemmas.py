@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -11,8 +12,7 @@ from themeloom.functions import constants as C
 from themeloom.functions import text as T
 from themeloom.session import materialise
 
-IN_TASK_ROWS = 200_000  # a larger lemma table is joined instead of travelling with the tasks
-_SALTS = 16
+TASK_WORDS = 200_000  # words that travel with the tasks at most, the most frequent ones; rarer ones are joined
 BASE_SHARE = 0.1  # a base form must occur in this share of the documents its inflected form occurs in
 
 
@@ -71,36 +71,73 @@ def _in_task(keys: pa.Array, lemmas: pa.Array):
         words = pc.split_pattern(texts, " ")
         flat = pc.list_flatten(words)
         mapped = pc.coalesce(pc.take(lemmas, pc.index_in(flat, value_set=keys)), flat)
-        return pc.binary_join(pa.ListArray.from_arrays(words.offsets, mapped), " ")
+        joined = pc.binary_join(pa.ListArray.from_arrays(words.offsets, mapped), " ")
+        return pc.if_else(pc.is_valid(texts), joined, pa.scalar(None, joined.type))
 
     return F.arrow_udf(replace, "string")
 
 
-def _joined(df: DataFrame, table: DataFrame, id_col: str) -> DataFrame:
-    """Lemmas by a salted join, so one very common word is spread over several tasks."""
-    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
-    tokens = df.select(id_col, F.posexplode(F.split("clean_text", " ")).alias("pos", "word")).withColumn(
-        "salt", F.pmod(F.hash(id_col, "pos"), F.lit(_SALTS))
+def _hot_words(hot: pa.Table):
+    """The words of a text with those of a dictionary replaced, and the ones that the dictionary lacks."""
+    keys, lemmas = hot["word"].combine_chunks(), pc.coalesce(hot["lemma"], hot["word"]).combine_chunks()
+    kind = pa.struct([("words", pa.list_(pa.string())), ("rare", pa.list_(pa.string()))])
+
+    def replace(texts: pa.Array) -> pa.Array:
+        words = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        flat = pc.list_flatten(words)
+        at = pc.index_in(flat, value_set=keys)
+        known = pc.is_valid(at)
+        mapped = pa.ListArray.from_arrays(words.offsets, pc.coalesce(pc.take(lemmas, at), flat))
+        before = np.concatenate([[0], np.cumsum(~known.to_numpy(zero_copy_only=False))])
+        ends = before[words.offsets.to_numpy() - words.offsets[0].as_py()].astype(np.int32)
+        rare = pa.ListArray.from_arrays(pa.array(ends), flat.filter(pc.invert(known)))
+        return pa.StructArray.from_arrays([mapped, rare], fields=list(kind))
+
+    return F.arrow_udf(replace, "struct<words:array<string>,rare:array<string>>")
+
+
+def _hot_then_joined(df: DataFrame, pairs: DataFrame, task_words: int) -> DataFrame:
+    """The most frequent `task_words` words of the texts, changed or not, are looked up in the tasks; the rest is joined.
+
+    What is joined occurs less often than every word of that dictionary, so no word of the join is hot, and only
+    texts' rare words are shuffled. Rows are known by a key of their own, stored with them.
+    """
+    other = [c for c in df.columns if c != "clean_text"]
+    held = materialise(
+        df.select(F.struct(*[df[f"`{c}`"] for c in other], F.lit(0).alias("_")).alias("_row"), "clean_text", F.monotonically_increasing_id().alias("_key")),
+        "lemma-rows",
     )
-    clean = (
-        tokens.join(table.select("word", "lemma", salts), ["word", "salt"], "left")
-        .groupBy(id_col)
-        .agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("lemma", "word").alias("w")))).alias("ws"))
-        .select(id_col, F.array_join(F.col("ws.w"), " ").alias("clean_text"))
+    words = held.select(F.explode(F.split("clean_text", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    dictionary = materialise(words.join(pairs.dropDuplicates(["word"]), "word", "left"), "lemma-dictionary")
+    hot = dictionary.orderBy(F.desc("n"), "word").limit(task_words).toArrow()
+    if not hot.num_rows:
+        return df
+    least, last = hot["n"][-1].as_py(), hot["word"][-1].as_py()
+    rest = dictionary.where(F.col("lemma").isNotNull() & ((F.col("n") < least) | ((F.col("n") == least) & (F.col("word") > last))))
+    marked = held.withColumn("_w", F.explode(F.array(_hot_words(hot)("clean_text"))))
+    changed = (
+        marked.select("_key", F.explode(F.array_distinct("_w.rare")).alias("word"))
+        .join(rest.select("word", "lemma"), "word")
+        .groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "lemma"))).alias("_lemmas"))
     )
-    return df.drop("clean_text").join(clean, id_col)
+    both = F.zip_with(F.split("clean_text", " "), F.col("_w.words"), lambda w, h: F.coalesce(F.try_element_at("_lemmas", w), h))
+    text = F.when(F.col("clean_text").isNotNull(), F.array_join(F.when(F.col("_lemmas").isNull(), F.col("_w.words")).otherwise(both), " "))
+    joined = marked.join(changed, "_key", "left")
+    return joined.select(*[F.col("_row")[c].alias(c) for c in other], text.alias("clean_text"))
 
 
-def apply_lemmas(
-    df: DataFrame, table: DataFrame, id_col: str = "doc_id", in_task_rows: int = IN_TASK_ROWS
-) -> DataFrame:
-    """Replaces the words of `clean_text` by their lemmas; adds no shuffle while the table is small."""
+def apply_lemmas(df: DataFrame, table: DataFrame, in_task_rows: int = TASK_WORDS) -> DataFrame:
+    """Replaces the words of `clean_text` by their lemmas, for rows of any columns, repeated or not; null stays null.
+
+    At most `in_task_rows` words travel with the tasks. A table that has no more adds no shuffle; of a larger one, or
+    of a corpus with more words, the most frequent travel and only rare words are joined. The rows are the same.
+    """
     pairs = table.select("word", "lemma")
     found = pairs.limit(in_task_rows + 1).toArrow()
-    if found.num_rows > in_task_rows:
-        return _joined(df, pairs, id_col)
     if found.num_rows == 0:
         return df
+    if found.num_rows > in_task_rows:
+        return _hot_then_joined(df, pairs, in_task_rows)
     return apply_pairs(df, list(zip(found["word"].to_pylist(), found["lemma"].to_pylist())))
 
 

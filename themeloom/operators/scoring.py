@@ -15,6 +15,8 @@ from themeloom.operators.distribution import topic_counts
 from themeloom.operators.labels import with_labels
 from themeloom.operators.models import TopicModel
 from themeloom.operators.topics import top_word_lists
+from themeloom.session import materialise
+from themeloom.sources import files, recordings
 
 # Notes on transcripts, the first that applies.
 NO_SPEECH, NO_WORDS = "No speech recognised", "No words the model recognises"
@@ -37,6 +39,25 @@ def place(inferred: DataFrame) -> DataFrame:
     )
 
 
+def classify_texts(df: DataFrame, text_col: str, model: TopicModel, labels: DataFrame, n: int = 3) -> DataFrame:
+    """The classification of single texts: input columns, whether the model knows a word of it, its best topic with name
+    and style, the shares of the n best, and the words of the text that the model recognises, in order of first use.
+
+    A text without known words is not ok and gets no topic, shares or words.
+    """
+    held = df.select(F.struct("*").alias("_row"), files.upload_text(df, text_col).alias("_text"))
+    judged = classify(infer_texts(held, "_text", model), n).withColumn("model", F.lit(model.name))
+    named = with_labels(judged, labels, model.n_topics)
+    words = T.recognised_words(F.split("clean_text", " "), model.vectorizer.terms)
+    added = {
+        "ok": F.col("ok"), "best": F.col("topic"), "topic_name": F.when(F.col("ok"), F.col("topic_name")),
+        "writing_style": F.when(F.col("ok"), F.col("writing_style")), "shares": F.col("ranked"),
+        "recognised": F.when(F.col("ok"), words),
+    }
+    kept = [F.col("_row")[c].alias(c) for c in df.columns if c not in added]
+    return named.select(*kept, *[value.alias(c) for c, value in added.items()])
+
+
 def classify(inferred: DataFrame, n: int = 3) -> DataFrame:
     """Adds `ok`, the best `topic` and the n best `ranked` shares; unknown texts get neither."""
     ok = F.col("known_terms") > 0
@@ -55,26 +76,22 @@ def name_assignments(placed: DataFrame, model_name: str, labels: DataFrame, topi
 
 
 def score_upload(df: DataFrame, text_col: str, model: TopicModel, labels: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
-    """Scores a table and keeps its columns, whatever they are called."""
-    held = df.select(F.struct("*").alias("_row"), F.col(f"`{text_col}`").alias("_text"))
+    """Scores a table by a column of any type and keeps its columns, whatever they are called."""
+    held = df.select(F.struct("*").alias("_row"), files.upload_text(df, text_col).alias("_text"))
     named = name_assignments(place(infer_texts(held, "_text", model, lemmas)), model.name, labels, model.n_topics)
     kept = [F.col("_row")[c].alias(c) for c in df.columns if c not in ("assigned_topic", "confidence")]
     return named.select(*kept, "assigned_topic", "confidence")
 
 
-def transcribe(recordings: DataFrame, transcriber: Callable[[bytes], tuple[str, float]]) -> DataFrame:
-    """Turns `(recording, content)` into transcripts with a given speech-to-text function.
-
-    The function runs inside tasks, once per distinct content; a recording it cannot read gets a note.
-    """
-    identified = recordings.withColumn("md5", F.md5("content"))
+def _speak(transcriber: Callable[[bytes], tuple[str, float]]):
+    """The transcriber over batches of `(md5, content)`; a recording it cannot read gets a note."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for md5, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for md5, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 try:
-                    text, seconds = transcriber(content)
+                    text, seconds = transcriber(content.as_py())
                     rows.append((md5, float(seconds), text, ""))
                 except Exception as error:  # one bad recording must not stop the batch
                     rows.append((md5, 0.0, "", UNREADABLE.format(type(error).__name__)))
@@ -84,19 +101,40 @@ def transcribe(recordings: DataFrame, transcriber: Callable[[bytes], tuple[str,
                 [pa.array(c, t) for c, t in zip(columns, types)], ["md5", "seconds", "transcript", "note"]
             )
 
-    # The first name under each content is chosen from names and hashes alone: no audio is shuffled
-    # while that list is small enough for the optimizer to broadcast.
-    first = identified.groupBy("md5").agg(F.min("recording").alias("recording"))
-    spoken = (
-        identified.join(first, ["md5", "recording"], "left_semi").select("md5", "content")
-        .mapInArrow(run, "md5 string, seconds double, transcript string, note string")
-        .dropDuplicates(["md5"])
-    )
-    return identified.select("recording", "md5").join(spoken, "md5").select(
-        "recording", "seconds", "transcript", "note"
+    return run
+
+
+def _transcripts(named: DataFrame, audio: DataFrame, transcriber: Callable[[bytes], tuple[str, float]]) -> DataFrame:
+    # Written once: speech is the costly step, and a lost executor must not repeat all of it.
+    spoken = materialise(
+        audio.mapInArrow(_speak(transcriber), "md5 string, seconds double, transcript string, note string"), "transcripts"
+    ).dropDuplicates(["md5"])
+    gone = F.lit(UNREADABLE.format("FileNotFoundError"))
+    return named.select("recording", "md5").join(spoken, "md5", "left").select(
+        "recording", F.coalesce("seconds", F.lit(0.0)).alias("seconds"), F.coalesce("transcript", F.lit("")).alias("transcript"),
+        F.when(F.col("note").isNull() & F.col("seconds").isNull(), gone).otherwise(F.col("note")).alias("note"),
     )
 
 
+def transcribe(recorded: DataFrame, transcriber: Callable[[bytes], tuple[str, float]]) -> DataFrame:
+    """Turns `(recording, content)` into `(recording, seconds, transcript, note)` with a given speech-to-text function.
+
+    The function runs inside tasks, once per distinct content, and gets empty ones too; whatever it raises becomes a
+    note. Audio is read twice and never shuffled: names and hashes are written first, and the content under the first
+    name of each hash is read again. A null content counts as empty. Rows that repeat a name and content come out as often.
+    """
+    held = recorded.select("recording", F.coalesce("content", F.lit(b"")).alias("content"))
+    named = materialise(held.select("recording", F.md5("content").alias("md5")), "recording-names")
+    first = named.groupBy("md5").agg(F.min("recording").alias("recording"))
+    audio = held.select("recording", F.md5("content").alias("md5"), "content").join(first, ["md5", "recording"], "left_semi").select("md5", "content")
+    return _transcripts(named, audio, transcriber)
+
+
+def transcribe_files(staged: DataFrame, transcriber: Callable[[bytes], tuple[str, float]]) -> DataFrame:
+    """The same for recordings staged from files (`sources.recordings.stage`), one row per file, empty ones included."""
+    return _transcripts(staged, recordings.contents(staged), transcriber)
+
+
 def transcript_note(note: Column, transcript: Column, ok: Column) -> Column:
     """Unreadable file, then no speech, then no known words, else empty."""
     silent = T.plain_spaces(F.coalesce(transcript, F.lit("")))
@@ -145,7 +183,7 @@ def transcript_distribution(scored: DataFrame) -> DataFrame:
     return counts.where(enough)
 
 
-def report_table(doc_topic: DataFrame, topic_term: DataFrame, labels: DataFrame, topics: int) -> DataFrame:
+def report_table(doc_topic: DataFrame, topic_term: DataFrame, labels: DataFrame, topics: int | dict[str, int]) -> DataFrame:
     """One row per topic for exported reports: name, documents (0 included) and its top words."""
     counts = with_labels(topic_counts(doc_topic, topics), labels)
     return counts.join(top_word_lists(topic_term), ["model", "topic"], "left").select(

@@ -60,9 +60,9 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path).select(F.explode(lines_of(F.col("value"))).alias("text"))
 
 
-def upload_text(df: DataFrame, text_col: str) -> DataFrame:
-    """An uploaded table with the chosen column as text."""
-    return df.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
+def upload_text(df: DataFrame, text_col: str) -> Column:
+    """The chosen column of an uploaded table as text, whatever its type and name."""
+    return df[f"`{text_col}`"].cast("string")
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -107,7 +107,7 @@ def read_rating_sheets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_recordings(spark: SparkSession, path: str, extensions: str = "*") -> DataFrame:
-    """`(recording, content, md5)` of audio files; files without a byte give no row."""
+    """`(recording, content, md5)` of audio files; `recordings.stage` also lists files without a byte."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", extensions).load(path)
     return files.select(
         F.element_at(F.split("path", "/"), -1).alias("recording"), "content", F.md5("content").alias("md5")

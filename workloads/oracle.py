@@ -175,10 +175,39 @@ CTES: dict[str, str] = {
           sum(f.phi * p.frequency) OVER (PARTITION BY f.model, f.term) AS frequency,
           f.phi / sum(f.phi) OVER (PARTITION BY f.model, f.term) AS phi_of_term
         FROM phi f JOIN prevalence p ON p.model = f.model AND p.topic = f.topic) q""",
-    "transcripts": """SELECT conv_id || '_' || turn AS recording, length(text) / 15.0 AS seconds,
-        CASE WHEN conv_id % 17 = 0 OR conv_id % 10 = 0 THEN '' ELSE text END AS transcript,
-        CASE WHEN conv_id % 17 = 0 THEN 'Couldn''t read this file (ValueError)' ELSE '' END AS note
-        FROM conversations WHERE role = 'user'""",
+    "transcripts": """SELECT recording, length(said) / 15.0 AS seconds, CASE WHEN length(said) % 10 = 0 THEN '' ELSE said END AS transcript,
+        CASE WHEN said = '' THEN 'Couldn''t read this file (ValueError)' ELSE '' END AS note FROM (
+          SELECT conv_id || '_' || turn AS recording, CASE WHEN conv_id % 17 = 0 THEN '' ELSE coalesce(text, '') END AS said FROM conversations)""",
+    "lexicon": """SELECT word, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(string_split(cleaned, ' ')) AS word FROM cleaned
+        WHERE len(regexp_extract_all(text, '[^""" + _chars(C.WHITESPACE) + """]+')) >= 15) WHERE word <> '' GROUP BY word""",
+    # Noun endings in order, irregular plurals, and words that stay as they are.
+    "endings": """SELECT * FROM (VALUES (0, 's', ''), (1, 'ses', 's'), (2, 'ves', 'f'), (3, 'xes', 'x'), (4, 'zes', 'z'), (5, 'ches', 'ch'),
+        (6, 'shes', 'sh'), (7, 'men', 'man'), (8, 'ies', 'y')) e(rank, old, new)""",
+    "irregular": """SELECT * FROM (VALUES ('women', 'woman'), ('children', 'child'), ('feet', 'foot'), ('teeth', 'tooth'), ('geese', 'goose'),
+        ('mice', 'mouse'), ('lives', 'life'), ('wives', 'wife'), ('knives', 'knife'), ('selves', 'self'), ('thieves', 'thief'),
+        ('halves', 'half'), ('analyses', 'analysis'), ('bases', 'basis'), ('crises', 'crisis'), ('criteria', 'criterion'),
+        ('indices', 'index'), ('matrices', 'matrix')) i(word, form)""",
+    "invariant": """SELECT unnest(string_split('news series species means perhaps always besides thus plus bus gas lens status bonus virus campus
+ census focus basis analysis crisis thesis physics mathematics economics politics ethics yes', ' ')) AS word""",
+    "forms": """SELECT l.word, l.df, i.form, 0 AS rank FROM lexicon l JOIN irregular i ON i.word = l.word UNION ALL
+        SELECT l.word, l.df, left(l.word, length(l.word) - length(e.old)) || e.new, e.rank FROM lexicon l JOIN endings e
+          ON ends_with(l.word, e.old) AND NOT (e.old = 's' AND ends_with(l.word, 'ss')) WHERE l.word NOT IN (SELECT word FROM irregular) UNION ALL
+        SELECT l.word, l.df, l.word, 99 FROM lexicon l WHERE l.word NOT IN (SELECT word FROM irregular)
+          AND (ends_with(l.word, 's') OR ends_with(l.word, 'men'))""",
+    "lemma_pairs": """SELECT word, lemma FROM (SELECT f.word, arg_min(f.form, {'n': length(f.form), 'r': f.rank}) AS lemma FROM forms f
+        JOIN lexicon b ON b.word = f.form WHERE f.word NOT IN (SELECT trim(word, chr(10)) FROM invariant) AND (f.form = f.word OR b.df >= 0.1 * f.df)
+        GROUP BY f.word) WHERE lemma <> word""",
+    "lem_tokens": "SELECT t.doc_id, coalesce(l.lemma, t.word) AS word, t.pos FROM tokens t LEFT JOIN lemma_pairs l ON l.word = t.word",
+    "lem_terms": """SELECT doc_id, word AS term FROM lem_tokens WHERE length(word) >= 2 UNION ALL
+        SELECT doc_id, word || ' ' || following FROM (SELECT doc_id, word,
+          lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS following FROM lem_tokens WHERE length(word) >= 2)
+        WHERE following IS NOT NULL""",
+    "lem_cells": "SELECT doc_id, term, count(*) AS tf FROM lem_terms GROUP BY ALL",
+    "lem_vocabulary": """SELECT row_number() OVER (ORDER BY term) - 1 AS term_id, term, df FROM (
+        SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM lem_cells GROUP BY term
+        HAVING count(*) >= 5 AND count(*) <= 0.9 * (SELECT count(*) FROM corpus) ORDER BY tf DESC, term LIMIT 5000)""",
+    "stand_in": "SELECT term_id, term, df, term_id % 11 AS topic, 1 + term_id / 1000.0::DOUBLE AS h FROM lem_vocabulary",
+    "stand_in_scale": "SELECT topic, sum(h * h) AS hh FROM stand_in GROUP BY topic",
 }
 _NAMES = {name: re.compile(rf"\b{name}\b") for name in CTES}
 
@@ -205,15 +234,29 @@ def _r(column: str, alias: str | None = None) -> str:
 _masked_docs = "regexp_replace('{$' || n_chars || '.00} ' || text, '[0-9]', 'X', 'g')"
 _known = """SELECT t.doc_id, count(DISTINCT t.term) AS known_terms FROM terms t JOIN vocabulary v USING (term) GROUP BY t.doc_id"""
 
-_TRANSCRIPT_WORDS = f"""SELECT recording, word, pos FROM (SELECT recording, string_split({_content(_cleaned('transcript'))}, ' ') AS ws
-    FROM transcripts) t, LATERAL (SELECT unnest(t.ws) AS word, generate_subscripts(t.ws, 1) AS pos) u"""
-CTES["transcript_words"] = _TRANSCRIPT_WORDS
-CTES["transcript_known"] = """SELECT DISTINCT recording FROM (
-    SELECT recording, word AS term FROM transcript_words UNION ALL
-    SELECT recording, word || ' ' || lead(word) OVER (PARTITION BY recording ORDER BY pos) FROM transcript_words)
-    WHERE term IN (SELECT term FROM vocabulary)"""
 CTES["known"] = _known
-_NAMES.update({n: re.compile(n) for n in ("transcript_words", "transcript_known", "known")})
+
+
+def _scoring(prefix: str, source: str, key: str, text: str) -> None:
+    """Tables of the stand-in model's view of a table of texts: its words, and its weights by topic where it knows a term."""
+    CTES[f"{prefix}_words"] = f"""SELECT t.{key}, coalesce(l.lemma, u.word) AS word, u.pos FROM (
+          SELECT {key}, string_split({_content(_cleaned(text))}, ' ') AS ws FROM {source}) t,
+        LATERAL (SELECT unnest(t.ws) AS word, generate_subscripts(t.ws, 1) AS pos) u LEFT JOIN lemma_pairs l ON l.word = u.word"""
+    CTES[f"{prefix}_cells"] = f"""SELECT {key}, topic, h, count(*) * (ln((1.0 + (SELECT count(*) FROM corpus)) / (1.0 + df)) + 1) AS x FROM (
+          SELECT {key}, word AS term FROM {prefix}_words WHERE length(word) >= 2 UNION ALL
+          SELECT {key}, word || ' ' || lead(word) OVER (PARTITION BY {key} ORDER BY pos) FROM {prefix}_words WHERE length(word) >= 2)
+        JOIN stand_in USING (term) GROUP BY {key}, topic, h, term_id, df"""
+    CTES[f"{prefix}_weights"] = f"""SELECT c.{key}, c.topic, sum(c.x / n.l * c.h) / any_value(s.hh) AS w FROM {prefix}_cells c
+        JOIN (SELECT {key}, sqrt(sum(x * x)) AS l FROM {prefix}_cells GROUP BY {key}) n USING ({key})
+        JOIN stand_in_scale s ON s.topic = c.topic GROUP BY c.{key}, c.topic"""
+    CTES[f"{prefix}_placed"] = f"""SELECT {key}, arg_max(topic, {{'w': w, 't': -topic}}) AS topic, max(w) / sum(w) AS confidence
+        FROM {prefix}_weights GROUP BY {key}"""
+
+
+_scoring("upload", "documents", "doc_id", "text")
+_scoring("spoken", "transcripts", "recording", "transcript")
+_scoring("item", "benchmark", "item_id", "text")
+_NAMES = {name: re.compile(rf"\b{name}\b") for name in CTES}
 
 
 def statements() -> dict[str, str]:
@@ -350,7 +393,29 @@ def statements() -> dict[str, str]:
     placed = f"""SELECT c.doc_id, coalesce(k.known_terms, 0)::INT AS known_terms, {C.N_TOPICS} AS topics, true AS non_negative,
         {{total}} AS total FROM corpus c LEFT JOIN known k USING (doc_id)"""
     s["lda_score"] = placed.format(total="1.0::DOUBLE")
-    s["score_transcripts"] = """SELECT t.recording, round_even(t.seconds, 1) AS length_seconds, CASE WHEN t.note <> '' THEN t.note
-        WHEN trim(t.transcript) = '' THEN 'No speech recognised' WHEN k.recording IS NULL THEN 'No words the model recognises' ELSE '' END AS note,
-        k.recording IS NOT NULL AND trim(t.transcript) <> '' AS placed FROM transcripts t LEFT JOIN transcript_known k USING (recording)"""
+    s["corpus_lemmatised"] = "SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS clean_text FROM lem_tokens GROUP BY doc_id"
+    s["score_upload"] = """SELECT d.doc_id, v.scored, d.source, coalesce(l.name, 'Topic ' || coalesce(p.topic, 0)) AS assigned_topic,
+        round_even(coalesce(p.confidence, 0), 3) AS confidence FROM documents d CROSS JOIN (VALUES ('text'), ('doc_id')) v(scored)
+        LEFT JOIN upload_placed p ON p.doc_id = d.doc_id AND v.scored = 'text'
+        LEFT JOIN topic_labels l ON l.model = 'NMF' AND l.topic = coalesce(p.topic, 0)"""
+    s["score_transcripts"] = """SELECT t.recording, round_even(t.seconds, 1) AS length_seconds,
+        (round_even(seconds, 0)::BIGINT // 60) || ':' || lpad((round_even(seconds, 0)::BIGINT % 60)::VARCHAR, 2, '0') AS length,
+        t.transcript, p.topic::INT AS topic_number, CASE WHEN p.topic IS NULL THEN '' ELSE coalesce(l.name, 'Topic ' || p.topic) END AS topic_name,
+        coalesce(l.style, '') AS writing_style, round_even(p.confidence, 3) AS confidence, 'NMF' AS model,
+        CASE WHEN t.note <> '' THEN t.note WHEN trim(t.transcript) = '' THEN 'No speech recognised'
+             WHEN p.topic IS NULL THEN 'No words the model recognises' ELSE '' END AS note
+        FROM transcripts t LEFT JOIN spoken_placed p USING (recording) LEFT JOIN topic_labels l ON l.model = 'NMF' AND l.topic = p.topic"""
+    s["transcript_topics"] = "SELECT 'NMF' AS model, topic::INT AS topic, count(*) AS documents FROM spoken_placed GROUP BY topic"
+    s["classify_texts"] = """SELECT b.item_id, p.topic IS NOT NULL AS ok, p.topic::INT AS best,
+        CASE WHEN p.topic IS NOT NULL THEN coalesce(l.name, 'Topic ' || p.topic) END AS topic_name, l.style AS writing_style,
+        r.topics[1]::INT AS topic_1, round(r.shares[1], 6) AS share_1, r.topics[2]::INT AS topic_2, round(r.shares[2], 6) AS share_2,
+        r.topics[3]::INT AS topic_3, round(r.shares[3], 6) AS share_3, CASE WHEN p.topic IS NOT NULL THEN coalesce(k.words, '') END AS recognised
+        FROM benchmark b LEFT JOIN item_placed p USING (item_id) LEFT JOIN topic_labels l ON l.model = 'NMF' AND l.topic = p.topic
+        LEFT JOIN (SELECT q.item_id, list(g.topic ORDER BY coalesce(w.w, 0) DESC, g.topic) AS topics,
+            list(coalesce(w.w, 0) / q.total ORDER BY coalesce(w.w, 0) DESC, g.topic) AS shares
+          FROM (SELECT item_id, sum(w) AS total FROM item_weights GROUP BY item_id) q CROSS JOIN range(11) g(topic)
+          LEFT JOIN item_weights w ON w.item_id = q.item_id AND w.topic = g.topic GROUP BY q.item_id) r ON r.item_id = b.item_id
+        LEFT JOIN (SELECT item_id, string_agg(word, ' ' ORDER BY first) AS words FROM (
+            SELECT item_id, word, min(pos) AS first FROM item_words WHERE word IN (SELECT term FROM lem_vocabulary) GROUP BY ALL)
+          GROUP BY item_id) k ON k.item_id = b.item_id"""
     return {name: _sql(sql) for name, sql in s.items()}

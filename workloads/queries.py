@@ -86,7 +86,8 @@ def text_lines(spark, sf_dir):
 
 @query
 def recording_length(spark, sf_dir):
-    return X.transcripts(spark, sf_dir).select("recording", T.duration(F.col("seconds")).alias("length"))
+    seconds = F.length(F.col("content").cast("string")) / 15.0
+    return X.recordings(spark, sf_dir).select("recording", T.duration(seconds).alias("length"))
 
 
 @query
@@ -456,17 +457,41 @@ def upload_assignments(spark, sf_dir):
 
 @query
 def score_upload(spark, sf_dir):
-    corpus = X.stored_corpus(spark, sf_dir)
-    fitted = training.fit(corpus, models=["NMF"]).models["NMF"]
+    """All documents as an upload, by a lemmatised model; the id column is scored as text too and finds no words."""
+    model, labels = X.scoring_model(spark, sf_dir), X.labels(spark, sf_dir)
     upload = X.documents(spark, sf_dir).select("doc_id", "source", "text")
-    return S.score_upload(upload, "text", fitted, X.labels(spark, sf_dir)).drop("text")
+    by_text = S.score_upload(upload, "text", model, labels).select("doc_id", F.lit("text").alias("scored"), "source", "assigned_topic", "confidence")
+    by_id = S.score_upload(upload, "doc_id", model, labels).select("doc_id", F.lit("doc_id").alias("scored"), "source", "assigned_topic", "confidence")
+    return by_text.unionByName(by_id)
+
+
+@query
+def classify_texts(spark, sf_dir):
+    """Single texts: whether the model knows a word, the best topics with their shares, and the words it knows."""
+    items = X.table(spark, sf_dir, "benchmark").select("item_id", "text")
+    found = S.classify_texts(items, "text", X.scoring_model(spark, sf_dir), X.labels(spark, sf_dir))
+    ranked = [
+        column for k in range(3) for column in (
+            F.get("shares", F.lit(k))["topic"].cast("int").alias(f"topic_{k + 1}"), r6(F.get("shares", F.lit(k))["share"], f"share_{k + 1}"),
+        )
+    ]
+    return found.select("item_id", "ok", "best", "topic_name", "writing_style", *ranked, F.array_join("recognised", " ").alias("recognised"))
+
+
+def _transcribed(spark, sf_dir):
+    spoken = S.transcribe(X.recordings(spark, sf_dir), X.speech)
+    return S.score_transcripts(spoken, X.scoring_model(spark, sf_dir), X.labels(spark, sf_dir))
 
 
 @query
 def score_transcripts(spark, sf_dir):
-    fitted = training.fit(X.stored_corpus(spark, sf_dir), models=["NMF"]).models["NMF"]
-    scored = S.score_transcripts(X.transcripts(spark, sf_dir), fitted, X.labels(spark, sf_dir))
-    return scored.select("recording", "length_seconds", "note", F.col("topic_number").isNotNull().alias("placed"))
+    """Recordings to the transcript export: speech recognition once per content, then topic, style, confidence and note."""
+    return _transcribed(spark, sf_dir)
+
+
+@query
+def transcript_topics(spark, sf_dir):
+    return S.transcript_distribution(materialise(_transcribed(spark, sf_dir), "scored-transcripts"))
 
 
 @query
