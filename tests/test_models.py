@@ -40,6 +40,35 @@ def test_vocabulary_limits(spark):
     assert [r["term"] for r in V.vocabulary(df, max_features=2, min_df=1, max_df=1.0).orderBy("term_id").collect()] == ["a1", "a1 b1"]
 
 
+def test_vocabulary_counts_only_phrases_that_can_enter(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(40)] + ["q", "é"]  # one-letter words are no terms
+    docs = [" ".join(rng.choice(words, rng.integers(0, 30), p=(p := 1 / np.arange(1, 43)) / p.sum())) for _ in range(300)] + ["w0"] * 40 + [""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)] + [(900, None)], "doc_id long, clean_text string").repartition(3)
+
+    def brute(limit, low_df, high_df, sizes):
+        total, held, n = {}, {}, len(docs) + 1
+        for d in docs:
+            kept = [w for w in d.split(" ") if len(w) >= 2]
+            terms = [" ".join(kept[i : i + s]) for s in range(sizes[0], sizes[1] + 1) for i in range(len(kept) - s + 1)]
+            for t in terms:
+                total[t] = total.get(t, 0) + 1
+            for t in set(terms):
+                held[t] = held.get(t, 0) + 1
+        floor, cap = (x * n if isinstance(x, float) else x for x in (low_df, high_df))
+        fit = sorted((t for t in total if floor <= held[t] <= cap), key=lambda t: (-total[t], t))[:limit]
+        return [(t, held[t], total[t]) for t in sorted(fit)]
+
+    for limit, low_df, high_df, sizes in ((25, 2, 0.9, (1, 2)), (60, 0.02, 0.3, (1, 3)), (None, 3, 1.0, (1, 2)), (5, 1, 0.9, (2, 2)), (2000, 1, 200, (1, 2)), (12, 5, 0.9, (1, 1))):
+        for spare in (1024, 0):
+            V._HEAD_SPARE = spare
+            table, documents = V.counted_vocabulary(df, limit, low_df, high_df, sizes)
+            got = [(r["term"], r["df"], r["tf"]) for r in table.orderBy("term_id").collect()]
+            assert got == brute(limit, low_df, high_df, sizes) and documents == len(docs) + 1
+    V._HEAD_SPARE = 1024
+    assert V.vocabulary(df.where("false")).count() == 0
+
+
 def test_tfidf_rows_have_unit_length(planted, fitted):
     vectored = V.long_form(fitted.vectorizer.tfidf(planted), "tfidf")
     norms = vectored.groupBy("doc_id").agg(F.sum(F.col("value") ** 2).alias("n")).agg(F.min("n"), F.max("n")).first()
