@@ -19,7 +19,7 @@ HEADLINE = [
     "clean_text", "corpus_prepare", "corpus_lemmatised", "corpus_sample", "top_words", "corpus_summary", "vocabulary",
     "tfidf_vectors", "top_terms", "window_counts", "coherence_cv", "topic_distribution", "distribution_summary",
     "representative_docs", "rating_by_topic", "rating_by_model", "topic_map_prevalence", "topic_map_distance",
-    "nmf_topics", "score_upload", "lda_topics",
+    "nmf_topics", "score_upload", "lda_topics", "score_transcripts", "topic_sweep",
 ]
 
 

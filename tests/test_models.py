@@ -5,9 +5,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from themeloom.functions import constants as C
 from themeloom.functions import sparse as S
 from themeloom.operators import coherence as H
 from themeloom.operators import features as V
+from themeloom.operators import lda as LDA
 from themeloom.operators import nmf
 from themeloom.operators import scoring as SC
 from themeloom.operators import topics as TP
@@ -82,6 +84,55 @@ def test_planted_topics_are_found(planted, fitted, name):
     assert len(pairs) == 3 and len({p["topic"] for p in pairs}) == 3
 
 
+def test_lda_steps_follow_the_update_rule(spark):
+    rng = np.random.default_rng(2)
+    docs = [np.sort(rng.choice(9, rng.integers(0, 6), replace=False)) for _ in range(40)]
+    rows = [(d.tolist(), rng.integers(1, 4, len(d)).astype(float).tolist()) for d in docs] + [([0, 1], [2.0, 1.0])] * 60
+    df = spark.createDataFrame(rows, "i array<int>, v array<double>").repartition(3)
+    xs = np.array([1e-3, 0.1, 1.0, 2.5, 30.0, 1e4])
+    np.testing.assert_allclose(LDA.digamma(xs), [(math.lgamma(x * (1 + 1e-6)) - math.lgamma(x * (1 - 1e-6))) / (2e-6 * x) for x in xs], rtol=1e-4, atol=1e-4)
+    fitted = LDA.fit_many(df, F.col("i"), F.col("v"), 9, [2, 3], passes=2, fraction=1.0)
+    for k in (2, 3):
+        topics = np.random.default_rng([C.SEED, k]).gamma(100.0, 0.01, (k, 9))
+        for step in (1, 2):
+            words, counts = LDA.expected_log(topics), np.zeros((k, 9))
+            for idx, val in rows:
+                gamma, b, val = np.ones(k), words[:, idx], np.array(val)
+                for _ in range(100 * bool(len(idx))):
+                    mix = LDA.expected_log(gamma[None])[0]
+                    new = 1 / k + mix * (b @ (val / (mix @ b + 1e-100)))
+                    done, gamma = np.abs(new - gamma).mean() <= 1e-3, new
+                    if done:
+                        break
+                if len(idx):
+                    mix = LDA.expected_log(gamma[None])[0]
+                    counts[:, idx] += np.outer(mix, val / (mix @ b + 1e-100))
+            rate = (C.LDA_OFFSET + step) ** -C.LDA_DECAY
+            topics = (1 - rate) * topics + rate * (1 / k + counts * words)
+        np.testing.assert_allclose(fitted[k], topics, rtol=1e-8)
+
+
+def test_lda_batches_are_read_apart_and_a_broken_fit_goes_on(spark, tmp_path):
+    rows = [([k % 7, 7], [1.0, 2.0]) for k in range(400)]
+    df = spark.createDataFrame(rows, "i array<int>, v array<double>")
+    whole = LDA.fit_lda(df, F.col("i"), F.col("v"), 8, 2, passes=4, fraction=0.25, state=str(tmp_path / "a"))
+    assert LDA.steps(4, 0.25) == 16
+    part = dict(passes=2, fraction=0.25, state=str(tmp_path / "b"))
+    LDA.fit_lda(df, F.col("i"), F.col("v"), 8, 2, **part)
+    resumed = LDA.fit_lda(df, F.col("i"), F.col("v"), 8, 2, **(part | {"passes": 4}))
+    np.testing.assert_allclose(whole, resumed, rtol=1e-9)
+
+
+def test_stacked_fits_equal_single_ones(planted, fitted):
+    vectored = fitted.vectorizer.tfidf(planted.select("doc_id", "clean_text"), "tfidf")
+    width = len(fitted.vectorizer.terms)
+    together = nmf.fit_many(vectored, *V.cells("tfidf"), width, [2, 3], init="random")
+    for k in (2, 3):
+        alone = nmf.fit_nmf(vectored, *V.cells("tfidf"), width, k, init="random")
+        np.testing.assert_allclose(together[k].topic_term, alone.topic_term, atol=1e-8)
+        assert together[k].iterations == alone.iterations
+
+
 def test_objective_never_rises(fitted):
     objective = fitted.models["NMF"].objective
     assert all(b <= a + 1e-9 for a, b in itertools.pairwise(objective))

@@ -12,15 +12,16 @@ CELLS_AT_ONCE = 1 << 18  # bounds the working memory of a task, whatever the bat
 Rows = tuple[np.ndarray, np.ndarray, np.ndarray]  # offsets, column indices, values
 
 
-def row_blocks(indices: pa.ListArray, values: pa.ListArray) -> Iterator[Rows]:
-    """Consecutive rows of a batch in blocks of about CELLS_AT_ONCE cells."""
+def row_blocks(indices: pa.ListArray, values: pa.ListArray, at_once: int | None = None) -> Iterator[Rows]:
+    """Consecutive rows of a batch in blocks of about `at_once` cells (CELLS_AT_ONCE if not given)."""
+    at_once = at_once or CELLS_AT_ONCE
     offsets = indices.offsets.to_numpy().astype(np.int64)
     columns = indices.values.to_numpy(zero_copy_only=False)
     cells = values.values.to_numpy(zero_copy_only=False)
     shift = values.offsets[0].as_py() - int(offsets[0])
     start = 0
     while start < len(offsets) - 1:
-        stop = int(np.searchsorted(offsets, offsets[start] + CELLS_AT_ONCE, side="right")) - 1
+        stop = int(np.searchsorted(offsets, offsets[start] + at_once, side="right")) - 1
         stop = min(max(stop, start + 1), len(offsets) - 1)
         a, b = int(offsets[start]), int(offsets[stop])
         yield offsets[start : stop + 1] - a, columns[a:b], cells[a + shift : b + shift]

@@ -1,44 +1,173 @@
-"""Latent Dirichlet allocation by online variational Bayes, on Spark ML."""
+"""Latent Dirichlet allocation by online variational Bayes.
+
+Rows are dealt once into mini-batches, stored apart, and every step reads its own batch only: a pass over the corpus
+is one scan of it, however many steps it has. Several numbers of topics are fitted by the same scans. The topics
+(topics x vocabulary, bounded by the vocabulary limit) are all the state there is.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions import constants as C
+from themeloom.functions import sparse as S
+from themeloom.operators.blocks import summed
+from themeloom.session import materialise
+
+BATCH_FRACTION = 0.5  # of the corpus in a mini-batch
+_CELLS = 1 << 15  # of a block whose rows settle together: a few MB
+_ROUNDS, _SETTLED = 100, 1e-3  # of a document's mix
+
+
+def digamma(x: np.ndarray) -> np.ndarray:
+    """The logarithmic derivative of the gamma function for positive arguments."""
+    shift = sum(1.0 / (x + i) for i in range(6))
+    y = x + 6.0
+    z = 1.0 / (y * y)
+    return np.log(y) - 0.5 / y - z * (1 / 12 - z * (1 / 120 - z * (1 / 252 - z * (1 / 240 - z / 132)))) - shift
+
+
+def expected_log(parameters: np.ndarray) -> np.ndarray:
+    """exp(E[log p]) of Dirichlet rows."""
+    return np.exp(digamma(parameters) - digamma(parameters.sum(axis=1))[:, None])
+
+
+def mixes(rows: S.Rows, words: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Dirichlet parameters of each row's mix given `words` (topics x vocabulary), and count / norm of each cell.
+
+    Cells lie along the last axis and one buffer serves all rounds, which is several times faster than fresh arrays.
+    """
+    offsets, columns, counts = rows
+    n, k = len(offsets) - 1, len(words)
+    gamma = np.full((n, k), 1.0)
+    sizes = np.diff(offsets)
+    gamma[sizes == 0] = prior
+    here = np.take(words, columns, axis=1)
+    active = np.flatnonzero(sizes)
+
+    def layout(rows_left: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        owner = np.repeat(np.arange(len(rows_left)), sizes[rows_left])
+        return owner, np.concatenate([[0], np.cumsum(sizes[rows_left])[:-1]]).astype(np.int64), np.empty((k, cells))
+
+    owner, starts, buffer = layout(active, len(columns))
+    weights, value, current, live = here, counts, gamma[active], np.ones(len(active), bool)
+    for _ in range(_ROUNDS):
+        if not live.any():
+            break
+        mix = expected_log(current)
+        np.take(np.ascontiguousarray(mix.T), owner, axis=1, out=buffer, mode="clip")
+        ratio = np.einsum("kc,kc->c", buffer, weights) + 1e-100
+        np.multiply(weights, value / ratio, out=buffer)
+        after = prior + mix * np.add.reduceat(buffer, starts, axis=1).T
+        moved = np.abs(after - current).mean(axis=1) > _SETTLED
+        # A settled row stays as it is, so that a row's mix does not depend on its neighbours.
+        current[live] = after[live]
+        live &= moved
+        if live.sum() <= 0.7 * len(active):
+            gamma[active] = current
+            stay = live[owner]
+            weights, value = weights[:, stay], value[stay]
+            active, current, live = active[live], current[live], live[live]
+            owner, starts, buffer = layout(active, len(value))
+    gamma[active] = current
+    buffer = np.take(np.ascontiguousarray(expected_log(gamma).T), np.repeat(np.arange(n), sizes), axis=1)
+    return gamma, counts / (np.einsum("kc,kc->c", buffer, here) + 1e-100)
+
 
-BATCH_FRACTION = 0.5  # of the corpus in a mini-batch, whatever its size: each batch is one scan of the cached rows
+def _statistics(models: list[tuple[np.ndarray, float]], width: int):
+    """Per block, the topic-word counts that each model expects, its topics one after another, and the rows."""
 
+    def count(rows: S.Rows) -> list[np.ndarray]:
+        offsets, columns, _ = rows
+        out = []
+        for words, prior in models:
+            gamma, ratio = mixes(rows, words, prior)
+            out += list(S.transposed_times((offsets, columns, ratio), expected_log(gamma), width))
+        return [*out, np.array([float(len(offsets) - 1)])]
 
-def fit_lda(
+    return count
+
+
+def fit_many(
     df: DataFrame,
-    vector_col: str,
-    n_topics: int = C.N_TOPICS,
+    indices: Column,
+    values: Column,
+    width: int,
+    topics: Iterable[int],
     seed: int = C.SEED,
     passes: int = C.LDA_PASSES,
     fraction: float = BATCH_FRACTION,
-) -> LDAModel:
-    """Fits topics on count vectors, which the caller keeps cached: every mini-batch scans them.
+    state: str | None = None,
+) -> dict[int, np.ndarray]:
+    """Topic-word parameters for each number of topics, all of them fitted by the same `passes` scans.
 
-    `passes` counts visits of the corpus, not mini-batches: there are passes / fraction of those.
+    Rows are dealt by a stored key, so equal rows spread too, and a lost executor costs its tasks of one step. With a
+    folder `state`, the topics are written there after every pass, and a fit that was broken off goes on from them.
     """
-    rows = df.select(vector_col)
-    prior = 1.0 / n_topics
-    return LDA(
-        k=n_topics, seed=seed, optimizer="online", featuresCol=vector_col,
-        learningOffset=C.LDA_OFFSET, learningDecay=C.LDA_DECAY,
-        docConcentration=[prior] * n_topics, topicConcentration=prior, optimizeDocConcentration=False,
-        subsamplingRate=fraction, maxIter=math.ceil(passes / fraction),
-    ).fit(rows)
-
-
-def infer(df: DataFrame, model: LDAModel, vector_col: str, known: Column, output: str = "weights") -> DataFrame:
-    """Adds topic weights that sum to one; a row without known terms is uniform."""
-    k = model.getK()
-    scored = model.copy({model.featuresCol: vector_col, model.topicDistributionCol: "_mix"}).transform(df)
-    uniform = F.array_repeat(F.lit(1.0 / k), k)
-    return scored.withColumn(output, F.when(known == 0, uniform).otherwise(vector_to_array("_mix"))).drop("_mix")
+    spark = df.sparkSession
+    batches = max(1, round(1 / fraction))
+    keyed = df.select(indices.alias("indices"), values.alias("values"), F.monotonically_increasing_id().alias("_key"))
+    dealt = materialise(keyed.withColumn("batch", F.pmod(F.xxhash64("_key"), F.lit(batches)).cast("int")).drop("_key"), "lda-batches", by="batch")
+    sizes = {r["batch"]: r["count"] for r in dealt.groupBy("batch").count().collect()}
+    rows = sum(sizes.values())
+    fitted = {k: np.random.default_rng([seed, k]).gamma(100.0, 0.01, (k, width)) for k in topics}
+    done = _resumed(df, state, fitted)
+    for number in range(done, passes):
+        for place, batch in enumerate(sorted(sizes)):
+            step = number * len(sizes) + place + 1
+            words = {k: expected_log(t) for k, t in fitted.items()}
+            models = [(w, 1.0 / k) for k, w in words.items()]
+            *sums, seen = summed(dealt.where(F.col("batch") == batch).select("indices", "values"), _statistics(models, width), _CELLS)
+            rate, start = (C.LDA_OFFSET + step) ** -C.LDA_DECAY, 0
+            for k, w in words.items():
+                found = 1.0 / k + rows / seen[0] * np.stack(sums[start : start + k]) * w
+                fitted[k], start = (1 - rate) * fitted[k] + rate * found, start + k
+        if state:
+            flat = [(k, t, number + 1, row.tolist()) for k, m in fitted.items() for t, row in enumerate(m)]
+            spark.createDataFrame(flat, "k int, topic int, passes int, weights array<double>").coalesce(1).write.mode("overwrite").parquet(f"{state}/{(number + 1) % 2}")
+    return fitted
+
+
+def _resumed(df: DataFrame, state: str | None, fitted: dict[int, np.ndarray]) -> int:
+    """Loads the later of two states that turns are taken in writing; gives the passes it holds."""
+    best = 0
+    for turn in (0, 1) if state else ():
+        try:
+            rows = df.sparkSession.read.parquet(f"{state}/{turn}").orderBy("k", "topic").collect()
+        except Exception:  # never written, or broken off while it was
+            continue
+        if len(rows) == sum(fitted) and {r["k"] for r in rows} == set(fitted) and rows[0]["passes"] > best:
+            best = rows[0]["passes"]
+            for k in fitted:
+                fitted[k] = np.array([r["weights"] for r in rows if r["k"] == k])
+    return best
+
+
+def fit_lda(df: DataFrame, indices: Column, values: Column, width: int, n_topics: int = C.N_TOPICS, seed: int = C.SEED, **options) -> np.ndarray:
+    """Topic-word parameters, topics x vocabulary; `options` as for `fit_many`."""
+    return fit_many(df, indices, values, width, [n_topics], seed, **options)[n_topics]
+
+
+def steps(passes: int = C.LDA_PASSES, fraction: float = BATCH_FRACTION) -> int:
+    """Mini-batch steps of a fit: they read the corpus `passes` times in all."""
+    return passes * max(1, math.floor(0.5 + 1 / fraction))
+
+
+def infer(indices: Column, values: Column, topic_term: np.ndarray) -> Column:
+    """Topic weights of new rows that sum to one; a row without known terms is uniform. A narrow, vectorised step."""
+    words, k = expected_log(topic_term), topic_term.shape[0]
+
+    def solve(idx: pa.Array, val: pa.Array) -> pa.Array:
+        blocks = [mixes(rows, words, 1.0 / k)[0] for rows in S.row_blocks(idx, val, _CELLS)]
+        gamma = np.vstack(blocks) if blocks else np.zeros((0, k))
+        offsets = np.arange(len(gamma) + 1, dtype=np.int32) * k
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array((gamma / gamma.sum(axis=1, keepdims=True)).ravel()))
+
+    # Not for its results, but so that filters on them never make the solver run twice.
+    return F.arrow_udf(solve, "array<double>").asNondeterministic()(indices, values)

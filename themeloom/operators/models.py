@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import LDAModel, LocalLDAModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +22,6 @@ class TopicModel:
     name: str
     vectorizer: X.Vectorizer
     topic_term: np.ndarray  # topics x terms, bounded by the vocabulary limit
-    lda: LDAModel | None = None
     objective: list[float] | None = None
     lemmas: list[tuple[str, str]] = field(default_factory=list)  # words of new texts to put in place, bounded by the terms
 
@@ -40,9 +39,7 @@ class TopicModel:
         vectored = self.vectors(df, "_vector").withColumn("known_terms", F.size(indices)).withColumn(
             "length", F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
         )
-        if self.lda is not None:
-            return lda.infer(vectored, self.lda, "_vector", F.col("known_terms")).drop("_vector")
-        weights = nmf.infer(indices, values, self.topic_term)
+        weights = (lda if self.name == "LDA" else nmf).infer(indices, values, self.topic_term)
         return vectored.withColumn("weights", weights).drop("_vector")
 
     def doc_topic(self, corpus: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -72,8 +69,6 @@ class TopicModel:
             [(self.name, v.documents, list(v.ngram_range))], "name string, documents long, ngrams array<int>"
         ).coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
         spark.createDataFrame(self.lemmas, "word string, lemma string").coalesce(1).write.mode("overwrite").parquet(f"{path}/lemmas")
-        if self.lda is not None:
-            self.lda.write().overwrite().save(f"{path}/lda")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TopicModel:
@@ -83,17 +78,23 @@ class TopicModel:
         vectorizer = X.Vectorizer(
             [w["term"] for w in words], [w["df"] for w in words], about["documents"], tuple(about["ngrams"])
         )
-        fitted = LocalLDAModel.load(f"{path}/lda") if about["name"] == "LDA" else None
         lemmas = [(r["word"], r["lemma"]) for r in spark.read.parquet(f"{path}/lemmas").orderBy("word").collect()]
-        return cls(about["name"], vectorizer, np.asarray([t["weights"] for t in topics]), fitted, lemmas=lemmas)
+        return cls(about["name"], vectorizer, np.asarray([t["weights"] for t in topics]), lemmas=lemmas)
+
+
+def fit_models(
+    name: str, vectored: DataFrame, vectorizer: X.Vectorizer, topics: Iterable[int], seed: int = C.SEED
+) -> dict[int, TopicModel]:
+    """Fits one kind of model for each number of topics on rows that hold `counts` (LDA) or `tfidf` (NMF) vectors."""
+    width = len(vectorizer.terms)
+    if name == "LDA":
+        return {k: TopicModel("LDA", vectorizer, t) for k, t in lda.fit_many(vectored, *X.cells("counts"), width, topics, seed).items()}
+    found = nmf.fit_many(vectored, *X.cells("tfidf"), width, topics, seed)
+    return {k: TopicModel("NMF", vectorizer, f.topic_term, objective=f.objective) for k, f in found.items()}
 
 
 def fit_model(
     name: str, vectored: DataFrame, vectorizer: X.Vectorizer, n_topics: int = C.N_TOPICS, seed: int = C.SEED
 ) -> TopicModel:
     """Fits one model on rows that hold `counts` (LDA) or `tfidf` (NMF) vectors."""
-    if name == "LDA":
-        fitted = lda.fit_lda(vectored, "counts", n_topics, seed)
-        return TopicModel("LDA", vectorizer, fitted.topicsMatrix().toArray().T, fitted)
-    result = nmf.fit_nmf(vectored, *X.cells("tfidf"), len(vectorizer.terms), n_topics, seed)
-    return TopicModel("NMF", vectorizer, result.topic_term, objective=result.objective)
+    return fit_models(name, vectored, vectorizer, [n_topics], seed)[n_topics]

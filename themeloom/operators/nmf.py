@@ -7,20 +7,18 @@ two steps. W is never stored, so lineage does not grow and a lost executor costs
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions import constants as C
 from themeloom.functions import sparse as S
+from themeloom.operators.blocks import summed
 
 _OVERSAMPLING, _POWER_PASSES = 10, 6
 
@@ -35,46 +33,13 @@ class Factorisation:
         return len(self.objective)
 
 
-def _summed(cells: DataFrame, per_block: Callable[[S.Rows], list[np.ndarray]]) -> list[np.ndarray]:
-    """Sums the arrays that `per_block` returns over the whole matrix, one output row per array."""
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: list[np.ndarray] | None = None
-        for batch in batches:
-            for rows in S.row_blocks(batch.column(0), batch.column(1)):
-                parts = per_block(rows)
-                sums = parts if sums is None else [a + b for a, b in zip(sums, parts)]
-        if sums is not None:
-            ends = np.cumsum([0] + [len(s) for s in sums]).astype(np.int32)
-            arrays = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sums)))
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), arrays], ["slot", "part"])
-
-    parts = cells.mapInArrow(partial, "slot int, part array<double>")
-    table = _combined(parts, math.isqrt(cells.rdd.getNumPartitions()) + 1).toArrow()  # arrays of topics x vocabulary size, whatever the corpus holds
-    sums: dict[int, np.ndarray] = {}
-    for batch in table.to_batches():
-        for slot, part in zip(batch["slot"].to_pylist(), batch["part"]):
-            values = part.values.to_numpy()
-            sums[slot] = sums[slot] + values if slot in sums else values
-    return [sums[slot] for slot in sorted(sums)]
-
-
-def _combined(parts: DataFrame, combiners: int) -> DataFrame:
-    """Adds up the tasks' arrays in two steps of about equal width, so that no reducer receives one from every task."""
-    vectors = parts.select(
-        "slot", F.pmod(F.spark_partition_id(), F.lit(combiners)).alias("combiner"), array_to_vector("part").alias("part")
-    )
-    first = vectors.groupBy("slot", "combiner").agg(Summarizer.sum(F.col("part")).alias("part"))
-    return first.groupBy("slot").agg(vector_to_array(Summarizer.sum(F.col("part"))).alias("part"))
-
-
 def _leading_subspace(cells: DataFrame, width: int, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Leading singular values and right singular vectors by randomised subspace iteration."""
     r = min(width, k + _OVERSAMPLING)
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, r)))[0]
 
     def pass_over(q: np.ndarray) -> np.ndarray:
-        return np.stack(_summed(cells, lambda rows: list(S.transposed_times(rows, S.times(rows, q), width)))).T
+        return np.stack(summed(cells, lambda rows: list(S.transposed_times(rows, S.times(rows, q), width)))).T
 
     for _ in range(_POWER_PASSES):
         image = pass_over(basis)
@@ -92,7 +57,7 @@ def _spectral_start(cells: DataFrame, width: int, k: int, seed: int) -> np.ndarr
         left = S.times(rows, right)
         return [(np.maximum(left, 0) ** 2).sum(axis=0), (np.maximum(-left, 0) ** 2).sum(axis=0)]
 
-    above, below = (np.sqrt(part) for part in _summed(cells, side_norms))
+    above, below = (np.sqrt(part) for part in summed(cells, side_norms))
     start = np.zeros((len(sigma), width))
     for j, s in enumerate(sigma):
         if s <= 0:
@@ -107,53 +72,77 @@ def _spectral_start(cells: DataFrame, width: int, k: int, seed: int) -> np.ndarr
     return start
 
 
-def fit_nmf(
+def fit_many(
     df: DataFrame,
     indices: Column,
     values: Column,
     width: int,
-    n_topics: int = C.N_TOPICS,
+    topics: Iterable[int],
     seed: int = C.SEED,
     init: str = "nndsvd",
     max_iterations: int = C.NMF_MAX_ITERATIONS,
     tolerance: float = C.NMF_TOLERANCE,
-) -> Factorisation:
-    """Fits H on the sparse rows given by two array columns; stops when the objective settles."""
+) -> dict[int, Factorisation]:
+    """Fits H for each number of topics on the sparse rows given by two array columns, in the same scans.
+
+    One scan per iteration serves every fit that has not settled: a fit stops when its objective does. The spectral
+    start is found once, for the most topics, and its leading part serves the others.
+    """
     cells = df.select(indices.alias("indices"), values.alias("values")).persist(StorageLevel.MEMORY_AND_DISK)
+    topics = sorted(set(topics))
     try:
         squares, rows = cells.agg(
             F.sum(F.aggregate("values", F.lit(0.0), lambda a, x: a + x * x)), F.count("*")
         ).first()
         if init == "nndsvd":
-            h = _spectral_start(cells, width, n_topics, seed)
+            start = _spectral_start(cells, width, topics[-1], seed)
+            models = {k: Factorisation(np.vstack([start[:k], np.zeros((max(k - len(start), 0), width))])) for k in topics}
         else:
-            mean = np.sqrt((squares / max(rows, 1)) / (width * n_topics))
-            h = mean * np.abs(np.random.default_rng(seed).standard_normal((n_topics, width)))
-        model = Factorisation(h)
+            models = {}
+            for k in topics:
+                mean = np.sqrt((squares / max(rows, 1)) / (width * k))
+                models[k] = Factorisation(mean * np.abs(np.random.default_rng(seed).standard_normal((k, width))))
+        going = list(topics)
         for _ in range(max_iterations):
-            cross, gram = _row_solutions(cells, h, width)
-            h = _update_topics(h, cross, gram)
-            model.topic_term = h
-            error = squares - 2 * (cross * h).sum() + (gram * (h @ h.T)).sum()
-            previous = model.objective[-1] if model.objective else np.inf
-            model.objective.append(float(error))
-            if previous - error <= tolerance * max(error, 1e-12):
+            solved = _row_solutions(cells, [models[k].topic_term for k in going], width)
+            for k, (cross, gram) in zip(list(going), solved):
+                model = models[k]
+                h = model.topic_term = _update_topics(model.topic_term, cross, gram)
+                error = squares - 2 * (cross * h).sum() + (gram * (h @ h.T)).sum()
+                previous = model.objective[-1] if model.objective else np.inf
+                model.objective.append(float(error))
+                if previous - error <= tolerance * max(error, 1e-12):
+                    going.remove(k)
+            if not going:
                 break
-        return model
+        return models
     finally:
         cells.unpersist()
 
 
-def _row_solutions(cells: DataFrame, h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    topics_gram = h @ h.T
-    columns = np.ascontiguousarray(h.T)
+def fit_nmf(df: DataFrame, indices: Column, values: Column, width: int, n_topics: int = C.N_TOPICS, seed: int = C.SEED, **options) -> Factorisation:
+    """One fit; `options` as for `fit_many`."""
+    return fit_many(df, indices, values, width, [n_topics], seed, **options)[n_topics]
 
-    def solve(rows: S.Rows) -> list[np.ndarray]:
-        w = S.non_negative_least_squares(S.times(rows, columns), topics_gram)
-        return list(np.hstack([S.transposed_times(rows, w, width), w.T @ w]))
 
-    sums = np.stack(_summed(cells, solve))
-    return sums[:, :width], sums[:, width:]
+def _row_solutions(cells: DataFrame, fits: list[np.ndarray], width: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """W'X and W'W of every fit, from one scan in which each task solves its rows of W against each H."""
+    # Columns of all fits side by side: a row is multiplied with them once.
+    stacked = np.ascontiguousarray(np.vstack(fits).T)
+    grams = [h @ h.T for h in fits]
+    ends = np.cumsum([0] + [len(h) for h in fits])
+
+    def solve(rows: S.Rows) -> list[np.ndarray]:
+        targets = S.times(rows, stacked)
+        out = []
+        for gram, a, b in zip(grams, ends, ends[1:]):
+            w = S.non_negative_least_squares(targets[:, a:b], gram)
+            out += list(np.hstack([S.transposed_times(rows, w, width), w.T @ w]))
+        return out
+
+    sums = summed(cells, solve)
+    parts = [np.stack(sums[a:b]) for a, b in zip(ends, ends[1:])]
+    return [(p[:, :width], p[:, width:]) for p in parts]
 
 
 def _update_topics(h: np.ndarray, cross: np.ndarray, gram: np.ndarray, sweeps: int = 20) -> np.ndarray:

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from concurrent.futures import ThreadPoolExecutor
 
-import pyarrow as pa
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,11 +13,9 @@ from themeloom.functions import constants as C
 from themeloom.operators import coherence as H
 from themeloom.operators import features as X
 from themeloom.operators import topics as TP
-from themeloom.operators.models import fit_model
+from themeloom.operators.models import fit_models
 from themeloom.plans.training import Fitted, vectors
 
-_FITS_AT_ONCE = 4
-
 
 def final_metrics(fitted: Fitted, corpus: DataFrame) -> DataFrame:
     """`(Metric, LDA, NMF)`: coherence and diversity of the models' top words, to four decimals."""
@@ -38,24 +35,20 @@ def sweep(
 ) -> DataFrame:
     """`(n_topics, lda_coherence, nmf_coherence)` for every number of topics.
 
-    All fits share one vocabulary and one set of cached vectors and run a few at a time, each as its
-    own Spark jobs. One pass over the corpus then counts the windows for every fit together.
+    All fits share one vocabulary and one set of cached vectors, and all fits of a kind the same scans: a scan updates
+    the topics of every number of topics. One pass over the corpus then counts the windows for every fit together.
     """
     spark = corpus.sparkSession
     corpus = corpus.select("doc_id", "clean_text").persist(StorageLevel.MEMORY_AND_DISK)
     vectorizer = X.fit_vectorizer(corpus, **vocabulary)
     kept = vectors(corpus, vectorizer, models)
-
-    def top(job: tuple[str, int]) -> pa.Table:
-        name, k = job
-        fitted = fit_model(name, kept, vectorizer, k, seed)
-        best = TP.top_terms(fitted.topic_terms(spark)).withColumn("model", F.lit(f"{name}:{k}"))
-        return best.select("model", "topic", "term").toArrow()
-
     try:
-        with ThreadPoolExecutor(_FITS_AT_ONCE) as pool:
-            found = list(pool.map(top, [(m, k) for k in topics for m in models]))
-        terms = spark.createDataFrame(pa.concat_tables(found), "model string, topic int, term string")
+        found = []
+        for name in models:
+            for k, fitted in fit_models(name, kept, vectorizer, topics, seed).items():
+                best = np.argsort(-fitted.topic_term, axis=1, kind="stable")[:, : C.TOP_WORDS]
+                found += [(f"{name}:{k}", t, vectorizer.terms[i]) for t, row in enumerate(best) for i in row]
+        terms = spark.createDataFrame(found, "model string, topic int, term string")
         scored = H.coherence_cv(terms, corpus)
         split = F.split("model", ":")
         wide = scored.select(

@@ -39,10 +39,13 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, purpose: str) -> DataFrame:
-    """Write a result to the shared folder and read it back: short lineage that outlives executors."""
+def materialise(df: DataFrame, purpose: str, by: str | None = None) -> DataFrame:
+    """Write a result to the shared folder and read it back: short lineage that outlives executors.
+
+    With `by`, rows are stored apart by that column, and a filter on it reads only its part.
+    """
     path = scratch_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

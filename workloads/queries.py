@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from themeloom.functions import constants as C
@@ -415,16 +415,31 @@ def topic_map_distance(spark, sf_dir):
 # ---- models and scoring ------------------------------------------------------------------
 
 
+def _fitted_topics(spark, sf_dir, name):
+    """What must hold of any fit: every topic has its top words, all of the vocabulary, distinct, and by falling weight.
+
+    The words themselves depend on a random start, so they are not among the columns.
+    """
+    fitted = training.fit(X.stored_corpus(spark, sf_dir), models=[name]).models[name]
+    top = TP.top_terms(fitted.topic_terms(spark))
+    by_topic = Window.partitionBy("model", "topic")
+    falling = F.coalesce(F.lag("weight").over(by_topic.orderBy("rank")) >= F.col("weight"), F.lit(True))
+    known = fitted.vectorizer.table(spark).select("term", F.lit(True).alias("known"))
+    return top.join(known, "term", "left").select(
+        "model", "topic", "rank", F.coalesce("known", F.lit(False)).alias("known"), falling.alias("falling"),
+        (F.size(F.collect_set("term").over(by_topic)) == F.count("*").over(by_topic)).alias("distinct_terms"),
+        (F.col("weight") >= 0).alias("non_negative"),
+    )
+
+
 @query
 def nmf_topics(spark, sf_dir):
-    fitted = training.fit(X.stored_corpus(spark, sf_dir), models=["NMF"]).models["NMF"]
-    return TP.top_terms(fitted.topic_terms(spark)).select("model", "topic", "rank", "term", "weight")
+    return _fitted_topics(spark, sf_dir, "NMF")
 
 
 @query
 def lda_topics(spark, sf_dir):
-    fitted = training.fit(X.stored_corpus(spark, sf_dir), models=["LDA"]).models["LDA"]
-    return TP.top_terms(fitted.topic_terms(spark)).select("model", "topic", "rank", "term", "weight")
+    return _fitted_topics(spark, sf_dir, "LDA")
 
 
 def _scored(spark, sf_dir, name):
@@ -438,7 +453,9 @@ def _scored(spark, sf_dir, name):
 
 @query
 def nmf_score(spark, sf_dir):
-    return _scored(spark, sf_dir, "NMF")
+    """Weights of NMF have no fixed total, but a text without known terms has none and no total is negative."""
+    scored = _scored(spark, sf_dir, "NMF")
+    return scored.withColumn("total", F.when(F.col("known_terms") == 0, F.col("total") == 0).otherwise(F.col("total") >= 0)).withColumnRenamed("total", "total_fits")
 
 
 @query
@@ -501,10 +518,15 @@ def report_tables(spark, sf_dir):
 
 @query
 def final_metrics(spark, sf_dir):
+    """The metrics' names, and that each value of each model is in its range; the values depend on random starts."""
     corpus = X.stored_corpus(spark, sf_dir)
-    return evaluation.final_metrics(training.fit(corpus), corpus)
+    found = evaluation.final_metrics(training.fit(corpus), corpus)
+    least = F.when(F.col("Metric") == "Topic Diversity", 1.0 / X.TOPICS).otherwise(-1.0)
+    return found.select("Metric", *[F.col(m).between(F.round(least, 4), F.lit(1.0)).alias(m) for m in ("LDA", "NMF")])
 
 
 @query
 def topic_sweep(spark, sf_dir):
-    return evaluation.sweep(X.corpus(spark, sf_dir))
+    """Every number of topics, and that both coherences are in their range."""
+    found = evaluation.sweep(X.corpus(spark, sf_dir))
+    return found.select("n_topics", *[F.col(c).between(-1.0, 1.0).alias(c) for c in ("lda_coherence", "nmf_coherence")])
