@@ -50,8 +50,11 @@ def transposed_times(rows: Rows, dense: np.ndarray, width: int) -> np.ndarray:
 def non_negative_least_squares(
     target: np.ndarray, gram: np.ndarray, tolerance: float = 1e-9, max_sweeps: int = 2000
 ) -> np.ndarray:
-    """Minimises w'Gw/2 - t'w over w >= 0 for every row t, by coordinate descent until rows settle."""
-    solved = np.zeros_like(target)
+    """Minimises w'Gw/2 - t'w over w >= 0 for every row t, by coordinate descent until rows settle.
+
+    Rows start from the solution without the bound, cut at zero: most need a few sweeps from there.
+    """
+    solved = np.maximum(0.0, target @ np.linalg.pinv(gram, hermitian=True))
     scale = np.diag(gram)
     usable = [k for k in range(len(scale)) if scale[k] > 0]
     active = np.arange(len(target))

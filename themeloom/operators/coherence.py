@@ -42,58 +42,75 @@ def usable_words(terms: DataFrame, corpus: DataFrame) -> DataFrame:
     )
 
 
-def _document_windows(places: np.ndarray, words: np.ndarray, length: int, window: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Distinct words of one document, their joint window counts, and its number of windows.
+def _spans(word: np.ndarray, first: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word's windows as separate spans: those of neighbouring places overlap and become one."""
+    order = np.lexsort((first, word))
+    word, first, after = word[order], first[order], after[order]
+    opens = np.concatenate([[True], (word[1:] != word[:-1]) | (first[1:] > after[:-1])])
+    closes = np.append(opens[1:], True)
+    return word[opens], first[opens], after[closes]
 
-    The token at place p is inside the windows that start at p-window+1 .. p. Between consecutive ends
-    of those spans the set of present words is constant, so windows are counted in whole segments.
+
+def _add_joint(joint: np.ndarray, word: np.ndarray, first: np.ndarray, after: np.ndarray) -> None:
+    """Adds to `joint` the number of windows that hold both words, for all words and windows of the spans.
+
+    Between consecutive ends of spans the set of present words is constant, so windows are counted in whole segments.
     """
-    present, local = np.unique(words, return_inverse=True)
-    windows = max(1, length - window + 1)
-    if windows == 1:
-        return present, np.ones((len(present), len(present))), 1
-    first = np.maximum(places - window + 1, 0)
-    after = np.minimum(places, windows - 1) + 1
     edges = np.unique(np.concatenate([first, after]))
-    opens, closes = np.searchsorted(edges, first), np.searchsorted(edges, after)
-    sizes = np.diff(edges).astype(float)
-    joint = np.zeros((len(present), len(present)))
-    state = np.zeros(len(present))
+    opens, closes, sizes = np.searchsorted(edges, first), np.searchsorted(edges, after), np.diff(edges).astype(float)
+    by_open = np.argsort(opens, kind="stable")
+    word, opens, closes = word[by_open], opens[by_open], closes[by_open]
+    n = len(joint)
     for start in range(0, len(sizes), _SEGMENTS_AT_ONCE):
         stop = min(start + _SEGMENTS_AT_ONCE, len(sizes))
-        change = np.zeros((stop - start, len(present)))
-        for at, step in ((opens, 1.0), (closes, -1.0)):
-            here = (at >= start) & (at < stop)
-            np.add.at(change, (at[here] - start, local[here]), step)
-        change[0] += state
-        depth = np.cumsum(change, axis=0)
-        state = depth[-1]
-        inside = (depth > 0).astype(float)
-        joint += inside.T @ (inside * sizes[start:stop, None])
-    return present, joint, windows
+        here = np.flatnonzero(closes[: np.searchsorted(opens, stop)] > start)
+        low, high = np.maximum(opens[here], start), np.minimum(closes[here], stop)
+        held = high - low
+        segment = np.repeat(low - start - (np.cumsum(held) - held), held) + np.arange(held.sum())
+        present = np.repeat(word[here], held)
+        weight = sizes[start:stop]
+        count = np.bincount(segment, minlength=stop - start)
+        if (count * count).sum() > (stop - start) * n:
+            inside = np.zeros((stop - start, n))
+            inside[segment, present] = 1.0
+            joint += inside.T @ (inside * weight[:, None])
+            continue
+        order = np.argsort(segment, kind="stable")
+        segment, present = segment[order], present[order]
+        each = count[segment]  # every word of a segment meets as many words as the segment has
+        one = np.repeat(np.arange(len(segment)), each)
+        two = np.repeat((np.cumsum(count) - count)[segment] - (np.cumsum(each) - each), each) + np.arange(len(one))
+        joint += np.bincount(present[one] * n + present[two], weights=weight[segment[one]], minlength=n * n).reshape(n, n)
 
 
 def _counter(words: list[str], groups: dict[str, np.ndarray], pairs: np.ndarray, window: int):
-    """Arrow function that sums window counts over its whole partition before anything is shuffled."""
+    """Arrow function that sums window counts over its whole partition before anything is shuffled.
+
+    The windows of a batch's documents are numbered one after another, so one sweep serves all of them. The word at
+    place p of a document is inside its windows p-window+1 .. p.
+    """
     known = pa.array(words, pa.string())
     names = list(groups)
-    members = np.stack([groups[n] for n in names])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joint = np.zeros((len(words), len(words)))
         totals = np.zeros(len(names))
         for batch in batches:
-            lists = pc.split_pattern(batch.column(0), " ")
+            lists = pc.split_pattern(pc.fill_null(batch.column(0), ""), " ")
             starts = lists.offsets.to_numpy().astype(np.int64)
             found = pc.fill_null(pc.index_in(pc.list_flatten(lists), value_set=known), -1).to_numpy()
             hits = np.flatnonzero(found >= 0)
-            bounds = np.searchsorted(hits, starts)
-            for d in np.flatnonzero(np.diff(bounds)):
-                mine = hits[bounds[d] : bounds[d + 1]]
-                length = int(starts[d + 1] - starts[d])
-                present, own, windows = _document_windows(mine - starts[d], found[mine], length, window)
-                joint[np.ix_(present, present)] += own
-                totals += windows * members[:, present].any(axis=1)
+            if not len(hits):
+                continue
+            windows = np.maximum(1, np.diff(starts) - window + 1)
+            before = np.cumsum(windows) - windows
+            document = np.searchsorted(starts, hits, side="right") - 1
+            place, word = hits - starts[document], found[hits].astype(np.int64)
+            first = before[document] + np.maximum(place - window + 1, 0)
+            after = before[document] + np.minimum(place, windows[document] - 1) + 1
+            _add_joint(joint, *_spans(word, first, after))
+            for g, name in enumerate(names):
+                totals[g] += windows[np.unique(document[groups[name][word]])].sum()
         i, j = pairs[:, 0], pairs[:, 1]
         seen = joint[i, j] > 0
         n = int(seen.sum())

@@ -38,18 +38,28 @@ def with_key(valid: DataFrame, key: DataFrame) -> DataFrame:
     return valid.join(F.broadcast(codes), "code")
 
 
+def suggested_names(keyed: DataFrame) -> DataFrame:
+    """`(model, topic, code, suggested_name)`, one row per different name: a topic that most ratings name is no hot group."""
+    return keyed.where(F.col("suggested_name") != "").select("model", "topic", "code", "suggested_name").distinct()
+
+
 def by_topic(keyed: DataFrame, digits: int | None = 2) -> DataFrame:
-    """Per topic: raters, mean scores, spread of the overall score and the names raters suggested."""
+    """Per topic: raters, mean scores, spread of the overall score and the names raters suggested.
+
+    Only different names meet in one row; where they are too many for that, take `suggested_names`.
+    """
     r = _rounder(digits)
-    return keyed.groupBy("model", "topic", "code").agg(
+    names = suggested_names(keyed).groupBy("model", "topic", "code").agg(
+        F.array_join(F.array_sort(F.collect_list("suggested_name")), "; ").alias("suggested_names")
+    )
+    scores = keyed.groupBy("model", "topic", "code").agg(
         F.count_distinct("rater").alias("raters"),
         r(F.avg("word_clarity")).alias("word_clarity"),
         r(F.avg("example_fit")).alias("example_fit"),
         r(F.avg("overall")).alias("overall"),
         r(F.stddev_samp("overall")).alias("spread"),
-        F.array_join(F.array_sort(F.collect_set(F.nullif(F.col("suggested_name"), F.lit("")))), "; ")
-        .alias("suggested_names"),
     )
+    return scores.join(names, ["model", "topic", "code"], "left").fillna("", ["suggested_names"])
 
 
 def by_model(keyed: DataFrame, topics: DataFrame, digits: int | None = 2) -> DataFrame:

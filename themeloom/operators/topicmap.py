@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,18 +83,49 @@ def saliency(frequencies: DataFrame, n: int | None = C.MAP_TERMS) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+def _candidates(steps: np.ndarray, n: int):
+    """Of each task's rows, those among the n best of their topic for some lambda; ties go by term.
+
+    A row that n others of its task beat at every lambda is beaten by them on the whole, so nothing is lost.
+    """
+
+    def best(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("term", kind="stable")
+        kept = np.zeros(len(rows), bool)
+        probability, lift = rows["logprob"].to_numpy(), rows["loglift"].to_numpy()
+        for step in steps if len(rows) > n else ():
+            score = -np.floor((step * probability + (1 - step) * lift) * 1e9 + 0.5)
+            kept[np.argsort(score, kind="stable")[:n]] = True
+        return rows[kept] if len(rows) > n else rows
+
+    def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, pd.DataFrame] = {}
+        for batch in batches:
+            for key, rows in batch.groupby(["model", "topic"], sort=False):
+                held[key] = best(pd.concat([held[key], rows]) if key in held else rows)
+        yield from held.values()
+
+    return prune
+
+
 def relevance(frequencies: DataFrame, lambdas: list[float] | None = None, n: int = C.MAP_TERMS) -> DataFrame:
-    """The n most relevant terms per topic and lambda: lambda ln(phi) + (1 - lambda) ln(phi / p)."""
-    steps = [i / 100 for i in range(101)] if lambdas is None else lambdas
+    """The n most relevant terms per topic and lambda: lambda ln(phi) + (1 - lambda) ln(phi / p).
+
+    Each task first keeps the terms that can be among them, so that only those are ranked once per lambda.
+    """
+    steps = [float(s) for s in ([i / 100 for i in range(101)] if lambdas is None else lambdas)]
     scored = (
         frequencies.where((F.col("phi") > 0) & (F.col("term_proportion") > 0))
         .select("model", "topic", "term", "topic_frequency", "frequency", F.ln("phi").alias("logprob"),
                 F.ln(F.col("phi") / F.col("term_proportion")).alias("loglift"))
-        .withColumn("lambda", F.explode(F.array(*[F.lit(float(s)) for s in steps])))
+    )
+    ranked = (
+        scored.mapInPandas(_candidates(np.array(steps), n), scored.schema)
+        .withColumn("lambda", F.explode(F.array(*[F.lit(s) for s in steps])))
         .withColumn("relevance", F.col("lambda") * F.col("logprob") + (1 - F.col("lambda")) * F.col("loglift"))
     )
     order = Window.partitionBy("model", "topic", "lambda").orderBy(F.desc(_tied("relevance")), "term")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
 def token_table(frequencies: DataFrame, shown: DataFrame) -> DataFrame:
