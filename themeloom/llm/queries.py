@@ -29,7 +29,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_line_dedup(spark, sf_dir):
     """doc_id, the text that stays, its md5, and the spans that went, one row per document."""
-    cut = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    cut = line_dedup.dedup_passages(documents(spark, sf_dir).select("doc_id", "text"))
     return cut.select(
         "doc_id", "text", F.size("removed").cast("long").alias("n_removed"),
         F.array_join(F.transform(F.array_sort("removed"), lambda s: F.format_string("%d-%d:%d", s["start"], s["end"], s["kept_doc_id"])), ",").alias("removed_spans"),

@@ -5,20 +5,29 @@ from __future__ import annotations
 from themeloom.llm import licences, sql_structure
 
 _OP1 = r"""
-WITH lines AS (
-  SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS k, unnest(string_split(text, chr(10))) AS line
-  FROM documents WHERE text IS NOT NULL),
+WITH marked AS (
+  SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(\n)', '\1' || chr(1), 'g'),
+    '([.!?][ \t]{1,8})([^ \t])', '\1' || chr(1) || '\2', 'g'), '([.!?][ \t]{1,8})([^ \t])', '\1' || chr(1) || '\2', 'g'),
+    '(\p{Ll} )(\p{Lu})', '\1' || chr(1) || '\2', 'g') AS t FROM documents WHERE text IS NOT NULL),
+split AS (SELECT doc_id, list_filter(string_split(t, chr(1)), lambda x: x <> '') AS u FROM marked),
+units AS (SELECT doc_id, unnest(range(len(u))) AS k, unnest(u) AS unit FROM split),
 placed AS (
-  SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos,
-         lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm FROM lines),
+  SELECT *, coalesce(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos,
+         lower(trim(regexp_replace(unit, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm, len(regexp_extract_all(unit, '[^\x20\x09-\x0D]+')) AS n FROM units),
 ranked AS (
-  SELECT *, norm <> '' AND length(norm) - length(replace(norm, ' ', '')) >= 4 AS counts,
-         row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) AS nth,
-         first_value(doc_id) OVER (PARTITION BY norm ORDER BY doc_id, k) AS first_id FROM placed)
-SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT (counts AND nth > 1)), '') AS text,
-       count(*) FILTER (WHERE counts AND nth > 1) AS n_removed,
-       coalesce(string_agg(pos || '-' || (pos + length(line)) || ':' || first_id, ',' ORDER BY pos) FILTER (WHERE counts AND nth > 1), '') AS removed_spans
-FROM ranked GROUP BY doc_id
+  SELECT *, CASE WHEN n < 3 THEN 's' WHEN row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1 THEN 'r' ELSE 'o' END AS kind,
+         first_value(doc_id) OVER (PARTITION BY norm ORDER BY doc_id, k) AS first_id FROM placed),
+grouped AS (SELECT *, count(*) FILTER (WHERE kind = 'o') OVER (PARTITION BY doc_id ORDER BY k) AS g FROM ranked),
+bounds AS (SELECT doc_id, g, min(k) AS a, max(k) AS b FROM grouped WHERE kind = 'r' GROUP BY ALL),
+runs AS (
+  SELECT doc_id, x.g, min(pos) AS s, max(pos + length(unit)) AS e, sum(n) AS words, arg_min(first_id, k) AS kept
+  FROM grouped x JOIN bounds USING (doc_id) WHERE x.g = bounds.g AND k BETWEEN a AND b AND kind <> 'o' GROUP BY doc_id, x.g HAVING sum(n) >= 25),
+stay AS (
+  SELECT x.doc_id, string_agg(unit, '' ORDER BY k) AS text FROM grouped x
+  WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = x.doc_id AND x.pos >= r.s AND x.pos < r.e) GROUP BY x.doc_id),
+spans AS (SELECT doc_id, count(*) AS n, string_agg(s || '-' || e || ':' || kept, ',' ORDER BY s) AS spans FROM runs GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(stay.text, '') END AS text, coalesce(n, 0) AS n_removed, coalesce(spans, '') AS removed_spans
+FROM documents d LEFT JOIN stay USING (doc_id) LEFT JOIN spans USING (doc_id)
 """
 
 _OP2 = r"""
