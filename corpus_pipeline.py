@@ -1,7 +1,7 @@
 """Documents to packed training sequences: five stages, each written as Parquet and read again for the next.
 
-Quality rules and the classifier drop the documents they reject, the Jaccard join keeps the smallest id of each group
-of near duplicates, substring dedup cuts lines that occur earlier, and packing lays what is left into sequences.
+Quality rules and the classifier drop the documents they reject, the Jaccard join keeps one row of each group of near
+duplicates, substring dedup cuts passages that occur earlier, and packing lays what is left into sequences.
 """
 
 from __future__ import annotations
@@ -36,15 +36,21 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; documents without an id or words stay."""
-    groups = jaccard_join.near_duplicates(docs)
-    gone = groups.where("doc_id != component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates: the first as the rows are stored.
+
+    Groups are of rows, not of ids: rows that repeat an id, or have none, are each judged by their own text, so copies
+    go whatever their ids and a text of its own stays. Rows without words stay. A row is known by its place in the
+    stored table, which every scan of it finds the same.
+    """
+    placed = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"), F.monotonically_increasing_id().alias("_place"))
+    groups = jaccard_join.near_duplicates(placed.select("_place", "_text"), "_place", "_text")
+    gone = groups.where("_place != component_id").select("_place")
+    return placed.join(gone, "_place", "left_anti").select("_row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts less the lines that an earlier document or place holds; n_chars follows."""
-    cut = line_dedup.dedup_lines(docs)
+    """Texts less the passages that an earlier document or place holds; n_chars follows."""
+    cut = line_dedup.dedup_passages(docs)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
