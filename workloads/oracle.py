@@ -405,6 +405,11 @@ def statements() -> dict[str, str]:
         round_even(coalesce(p.confidence, 0), 3) AS confidence FROM documents d CROSS JOIN (VALUES ('text'), ('doc_id')) v(scored)
         LEFT JOIN upload_placed p ON p.doc_id = d.doc_id AND v.scored = 'text'
         LEFT JOIN topic_labels l ON l.model = 'NMF' AND l.topic = coalesce(p.topic, 0)"""
+    s["score_saved_model"] = """SELECT d.doc_id, d.source, coalesce(l.name, 'Topic ' || coalesce(p.topic, 0)) AS assigned_topic,
+        round_even(coalesce(p.confidence, 0), 3) AS confidence FROM documents d LEFT JOIN upload_placed p USING (doc_id)
+        LEFT JOIN topic_labels l ON l.model = 'NMF' AND l.topic = coalesce(p.topic, 0)"""
+    s["rating_sheets_read"] = """SELECT code, wc::VARCHAR AS word_clarity, ef::VARCHAR AS example_fit, suggested AS suggested_name, count(*) AS n
+        FROM sheets GROUP BY ALL"""
     s["score_transcripts"] = """SELECT t.recording, round_even(t.seconds, 1) AS length_seconds,
         (round_even(seconds, 0)::BIGINT // 60) || ':' || lpad((round_even(seconds, 0)::BIGINT % 60)::VARCHAR, 2, '0') AS length,
         t.transcript, p.topic::INT AS topic_number, CASE WHEN p.topic IS NULL THEN '' ELSE coalesce(l.name, 'Topic ' || p.topic) END AS topic_name,

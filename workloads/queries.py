@@ -317,6 +317,17 @@ def rating_rejects(spark, sf_dir):
     return rejected.groupBy("rater", "code", "problem").agg(F.count("*").alias("n"))
 
 
+@query
+def rating_sheets_read(spark, sf_dir):
+    """Sheets written as files with the raters' headings and read back by name; other columns are passed over."""
+    path = scratch_dir(spark, "sheets")
+    named = {ours: theirs for theirs, ours in files.SHEET_COLUMNS.items()}
+    sheets = X.rating_sheets(spark, sf_dir)
+    files.write_csv(sheets.select(F.lit("note").alias("Remarks"), *[F.col(c).alias(named[c]) for c in sheets.columns if c in named]), path)
+    read = files.read_rating_sheets(spark, f"{path}/*.csv")
+    return read.groupBy("code", "word_clarity", "example_fit", F.trim("suggested_name").alias("suggested_name")).agg(F.count("*").alias("n"))
+
+
 def _rated(spark, sf_dir):
     valid, _ = R.split_ratings(X.rating_sheets(spark, sf_dir))
     return R.with_key(valid, X.rating_key(spark))
@@ -482,6 +493,15 @@ def score_upload(spark, sf_dir):
     return by_text.unionByName(by_id)
 
 
+@query
+def score_saved_model(spark, sf_dir):
+    """The upload again, by a model that was written as tables and read back."""
+    path = scratch_dir(spark, "model")
+    X.scoring_model(spark, sf_dir).save(spark, path)
+    upload = X.documents(spark, sf_dir).select("doc_id", "source", "text")
+    return S.score_upload(upload, "text", M.TopicModel.load(spark, path), X.labels(spark, sf_dir)).drop("text")
+
+
 @query
 def classify_texts(spark, sf_dir):
     """Single texts: whether the model knows a word, the best topics with their shares, and the words it knows."""
