@@ -16,9 +16,9 @@ from themeloom.llm.common import WORD
 
 MIN_WORDS = 5
 UNITS = {"line": "\n", "paragraph": "\n\n"}
-# Sentences inside lines: a unit ends after `.`, `!` or `?` with blanks, after a line break, and before a capital that
+# Sentences inside lines: a unit ends after `.`, `!` or `?` with a blank, after a line break, and before a capital that
 # follows a small letter, where a passage set into other text often starts. The places are empty, so no character is lost.
-SENTENCE_ENDS = r"(?<=[.!?][\x20\x09]{1,8})(?![\x20\x09])|(?<=\n)|(?<=\p{Ll}\x20)(?=\p{Lu})"
+SENTENCE_ENDS = r"(?<=[.!?][\x20\x09])|(?<=\n)|(?=\p{Lu})(?<=\p{Ll}\x20)"
 SENTENCE_WORDS = 3  # shorter units are not compared: they belong to the run around them
 # A repeated passage of more than 50 words is found by the units that lie wholly in it, without those at its ends.
 RUN_WORDS = 25
@@ -180,7 +180,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     Units are the sentences inside lines. The earliest occurrence of each stays; of the others, those are cut that lie
     in a run of neighbouring repeated units of `run_words` words or more together, so a short line or sentence that
     many texts share stays everywhere. Units under SENTENCE_WORDS words are never compared; between repeated ones they
-    go with the run. Blanks and the line break after a unit belong to it. Units are equal when they agree after
+    go with the run. The blank or line break that ends a unit belongs to it. Units are equal when they agree after
     folding case and white space. Spans hold start and end in code points of the original text and the document that
     keeps the run's first unit. Rank is by id (nulls last), then by a hash of the text, then by place. Rows that repeat
     id and text count as one document and come out alike. A null text stays null, an empty one empty, both with no

@@ -6,9 +6,8 @@ from themeloom.llm import licences, sql_structure
 
 _OP1 = r"""
 WITH marked AS (
-  SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(\n)', '\1' || chr(1), 'g'),
-    '([.!?][ \t]{1,8})([^ \t])', '\1' || chr(1) || '\2', 'g'), '([.!?][ \t]{1,8})([^ \t])', '\1' || chr(1) || '\2', 'g'),
-    '(\p{Ll} )(\p{Lu})', '\1' || chr(1) || '\2', 'g') AS t FROM documents WHERE text IS NOT NULL),
+  SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(\n)', '\1' || chr(1), 'g'),
+    '([.!?][ \t])', '\1' || chr(1), 'g'), '(\p{Ll} )(\p{Lu})', '\1' || chr(1) || '\2', 'g') AS t FROM documents WHERE text IS NOT NULL),
 split AS (SELECT doc_id, list_filter(string_split(t, chr(1)), lambda x: x <> '') AS u FROM marked),
 units AS (SELECT doc_id, unnest(range(len(u))) AS k, unnest(u) AS unit FROM split),
 placed AS (
