@@ -33,6 +33,7 @@ BLOCK_SETS = 2000
 HOT_FROM = 4096  # sets with a shingle, from which on its rows are not sent to one task
 FILTER_WORDS = 1 << 20  # 64-bit words of the filter of wanted sets
 _ODD = np.uint64(0xFF51AFD7ED558CCD)
+_CLASS = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -244,8 +245,27 @@ def _shingle_counts(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
 
 
+def size_class(size: int, percent: int = PERCENT) -> int:
+    """Linked sets are of one class or of neighbouring ones: a class spans sizes up to the ratio that links allow."""
+    return math.floor(math.log(size) / -math.log(percent / 100) + 1e-9) if percent < 100 else size
+
+
+def _classed(shingles: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Shingles told apart by class of size; `counts` repeats each class."""
+    return (shingles ^ (np.repeat(sizes, counts).astype(np.uint64) * _CLASS)) * _ODD
+
+
+def small_part(size: int, percent: int) -> int:
+    """How many first shingles of a set are enough to meet its larger partners, which come with all of theirs."""
+    return size - -(-2 * percent * size // (100 + percent)) + 1
+
+
 def _postings(docs: DataFrame, width: int, percent: int, common: tuple[np.ndarray, np.ndarray], hot_from: int) -> DataFrame:
-    """(shingle, sid, salt) for the first shingles of every set; a hot shingle's rows have salts, others 0."""
+    """(shingle, sid, salt) for the first shingles of every set; a hot shingle's rows have salts, others 0.
+
+    Shingles meet within a class of sizes. A set posts all its first shingles in its own class, and in the next one,
+    where its partners are larger, the fewer ones that a smaller partner needs.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,9 +275,13 @@ def _postings(docs: DataFrame, width: int, percent: int, common: tuple[np.ndarra
             sets = {set_digest(s): s for s in many if len(s)}  # equal sets of a slice once
             if not sets:
                 continue
-            firsts = [first_shingles(s, shingles, counts, percent) for s in sets.values()]
+            own_class = [first_shingles(s, shingles, counts, percent) for s in sets.values()]
+            firsts = own_class + [f[: small_part(len(s), percent)] for f, s in zip(own_class, sets.values())]
+            classes = np.array([size_class(len(s), percent) for s in sets.values()])
+            lengths = np.array([len(f) for f in firsts])
             flat = np.concatenate(firsts)
-            owner = np.repeat(np.arange(len(firsts)), [len(f) for f in firsts])
+            owner = np.repeat(np.tile(np.arange(len(sets)), 2), lengths)
+            posted = _classed(flat, np.concatenate([classes, classes + 1]), lengths)
             salt = np.zeros(len(flat), np.int32)
             if len(hot):
                 at = np.searchsorted(hot, flat)
@@ -265,7 +289,7 @@ def _postings(docs: DataFrame, width: int, percent: int, common: tuple[np.ndarra
                 own = np.array([1 + int.from_bytes(d[:2]) for d in sets], np.int32)
                 salt = np.where(hot[at] == flat, own[owner], 0).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat.view(np.int64)), pa.array(list(sets), pa.binary()).take(pa.array(owner)), pa.array(salt)],
+                [pa.array(posted.view(np.int64)), pa.array(list(sets), pa.binary()).take(pa.array(owner)), pa.array(salt)],
                 names=["shingle", "sid", "salt"],
             )
 
@@ -275,8 +299,8 @@ def _postings(docs: DataFrame, width: int, percent: int, common: tuple[np.ndarra
 def _meetings(postings: DataFrame) -> DataFrame:
     """(sid, block): the sets that share a first shingle, with the smallest set that has it.
 
-    Postings are sorted in each partition once and read in a stream. Hot shingles, of which there are no more than
-    rows in the table of common ones, pass through and meet their smallest set by a broadcast of that size.
+    Postings are sorted in each partition once and read in a stream. Hot shingles pass through and meet their smallest
+    set by a join that Spark can split or broadcast by its own measure.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +343,7 @@ def _meetings(postings: DataFrame) -> DataFrame:
     met = materialise(sent.mapInArrow(run, "sid binary, block binary, shingle long").distinct(), "meetings")
     hot = met.where("block is null").select("sid", "shingle")
     least = hot.groupBy("shingle").agg(F.min("sid").alias("block"))
-    return met.where("block is not null").select("sid", "block").unionByName(hot.join(F.broadcast(least), "shingle").select("sid", "block")).distinct()
+    return met.where("block is not null").select("sid", "block").unionByName(hot.join(least, "shingle").select("sid", "block")).distinct()
 
 
 def _block_links(percent: int):
