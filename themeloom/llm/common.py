@@ -65,8 +65,31 @@ class BoundedCache(dict):
         return value
 
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str) -> None:
+    """Writes a table. Once it is written the shuffles behind it serve nothing, so their files are freed at once."""
+    conf = df.sparkSession.conf
+    before = conf.get(FREE_SHUFFLES)
+    conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(FREE_SHUFFLES, before)
+
+
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Writes a table to the shared folder that spark.checkpoint.dir names and reads it back."""
     path = scratch_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    write(df, path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table that `materialise` wrote and that nothing reads any more."""
+    session = table.sparkSession
+    path = session.sparkContext._jvm.org.apache.hadoop.fs.Path(table._scratch)
+    path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
