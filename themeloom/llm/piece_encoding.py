@@ -51,13 +51,13 @@ class Encoder:
             start = end - len(piece) + 1
             if longest[start] is None or len(piece) > len(longest[start]):
                 longest[start] = piece
-        open_ends = (1 << (len(text) + 1)) - 1
+        failed = bytearray((len(text) >> 3) + 1)  # a bit for each place
         chosen: list[str] = []
         place, piece = 0, longest[0]
         while place < len(text):
             while piece is not None:
                 end = place + len(piece)
-                if open_ends >> end & 1 and (not chosen or self.compatible(chosen[-1], piece)):
+                if not failed[end >> 3] >> (end & 7) & 1 and (not chosen or self.compatible(chosen[-1], piece)):
                     break
                 piece = self.shorter[piece]
             if piece is not None:
@@ -65,7 +65,7 @@ class Encoder:
                 place += len(piece)
                 piece = longest[place] if place < len(text) else None
             else:
-                open_ends &= ~(1 << place)
+                failed[place >> 3] |= 1 << (place & 7)
                 piece = chosen.pop()
                 place -= len(piece)
                 # Its end is marked now, so the search goes on with the next shorter piece.
