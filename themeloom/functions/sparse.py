@@ -1,4 +1,4 @@
-"""Small numpy helpers for Arrow batches of sparse rows, used inside tasks."""
+"""Small helpers for Arrow batches of sparse rows and of texts, used inside tasks."""
 
 from __future__ import annotations
 
@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CELLS_AT_ONCE = 1 << 18  # bounds the working memory of a task, whatever the batch holds
 
+TEXT_AT_ONCE = 1 << 22  # bytes of texts that a task splits at once: some 60 MB of working memory
+
 Rows = tuple[np.ndarray, np.ndarray, np.ndarray]  # offsets, column indices, values
 
 
@@ -28,13 +31,30 @@ def row_blocks(indices: pa.ListArray, values: pa.ListArray, at_once: int | None
         start = stop
 
 
+def text_blocks(texts: pa.Array, at_once: int | None = None) -> Iterator[pa.Array]:
+    """Consecutive texts of a batch in blocks of about `at_once` bytes (TEXT_AT_ONCE if not given), nulls included.
+
+    A batch has a fixed number of rows, so its bytes depend on the texts; what a task makes of them at once must not.
+    """
+    at_once = at_once or TEXT_AT_ONCE
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(int(np.searchsorted(ends, before + at_once, side="right")), start + 1)
+        yield texts.slice(start, stop - start)
+        start = stop
+
+
 def times(rows: Rows, dense: np.ndarray) -> np.ndarray:
-    """Sparse rows times a dense matrix."""
+    """Sparse rows times a dense matrix, one of its columns after another: no array of cells x columns is made."""
     offsets, columns, values = rows
     out = np.zeros((len(offsets) - 1, dense.shape[1]))
     filled = offsets[1:] > offsets[:-1]
     if filled.any():
-        out[filled] = np.add.reduceat(values[:, None] * dense[columns], offsets[:-1][filled], axis=0)
+        columns, starts = columns.astype(np.intp), offsets[:-1][filled]
+        for k, column in enumerate(np.ascontiguousarray(dense.T)):
+            out[filled, k] = np.add.reduceat(values * column.take(columns), starts)
     return out
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from themeloom.functions import constants as C
+from themeloom.functions import sparse as S
 from themeloom.functions import text as T
 from themeloom.session import materialise
 
@@ -62,15 +63,15 @@ def _kept(statistics: DataFrame, documents: int, min_df: int | float, max_df: in
 
 
 def _phrase_counter(words: list[str], size: int):
-    """`(code, df, tf)` of phrases of `size` neighbouring words, all of the given ones, added up per batch of texts.
+    """`(code, df, tf)` of phrases of `size` neighbouring words, all of the given ones, added up per block of texts.
 
     Words are numbered and a phrase is one number, so that no text of a phrase is built, grouped or sent.
     """
     held = pa.array(words, pa.string())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = pc.split_pattern(pc.fill_null(batch.column(0), ""), " ")
+        for block in (block for batch in batches for block in S.text_blocks(batch.column(0))):
+            texts = pc.split_pattern(pc.fill_null(block, ""), " ")
             flat, ends = pc.list_flatten(texts), texts.offsets.to_numpy()
             # One-letter words are no terms: their neighbours are next to each other.
             long = pc.greater_equal(pc.utf8_length(flat), 2).to_numpy(zero_copy_only=False)
