@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions import constants as C
+from themeloom.functions import sparse as S
 from themeloom.functions import text as T
 
 _SEGMENTS_AT_ONCE = 4096
+_SEGMENT_WORDS = 1 << 20  # segments x words at once: 8 MB
 _COUNT_SCHEMA = "model string, word1 string, word2 string, windows long"
 
 
@@ -61,8 +63,9 @@ def _add_joint(joint: np.ndarray, word: np.ndarray, first: np.ndarray, after: np
     by_open = np.argsort(opens, kind="stable")
     word, opens, closes = word[by_open], opens[by_open], closes[by_open]
     n = len(joint)
-    for start in range(0, len(sizes), _SEGMENTS_AT_ONCE):
-        stop = min(start + _SEGMENTS_AT_ONCE, len(sizes))
+    at_once = min(_SEGMENTS_AT_ONCE, max(_SEGMENT_WORDS // n, n))  # a table of all pairs is made at most once for as many segments
+    for start in range(0, len(sizes), at_once):
+        stop = min(start + at_once, len(sizes))
         here = np.flatnonzero(closes[: np.searchsorted(opens, stop)] > start)
         low, high = np.maximum(opens[here], start), np.minimum(closes[here], stop)
         held = high - low
@@ -86,7 +89,7 @@ def _add_joint(joint: np.ndarray, word: np.ndarray, first: np.ndarray, after: np
 def _counter(words: list[str], groups: dict[str, np.ndarray], pairs: np.ndarray, window: int):
     """Arrow function that sums window counts over its whole partition before anything is shuffled.
 
-    The windows of a batch's documents are numbered one after another, so one sweep serves all of them. The word at
+    The windows of a block of documents are numbered one after another, so one sweep serves all of them. The word at
     place p of a document is inside its windows p-window+1 .. p.
     """
     known = pa.array(words, pa.string())
@@ -95,8 +98,8 @@ def _counter(words: list[str], groups: dict[str, np.ndarray], pairs: np.ndarray,
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joint = np.zeros((len(words), len(words)))
         totals = np.zeros(len(names))
-        for batch in batches:
-            lists = pc.split_pattern(pc.fill_null(batch.column(0), ""), " ")
+        for block in (block for batch in batches for block in S.text_blocks(batch.column(0))):
+            lists = pc.split_pattern(pc.fill_null(block, ""), " ")
             starts = lists.offsets.to_numpy().astype(np.int64)
             found = pc.fill_null(pc.index_in(pc.list_flatten(lists), value_set=known), -1).to_numpy()
             hits = np.flatnonzero(found >= 0)
