@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions import constants as C
+from themeloom.functions import sparse as S
 from themeloom.functions import text as T
 from themeloom.session import materialise
 
@@ -67,13 +68,16 @@ def lemma_table(
 
 
 def _in_task(keys: pa.Array, lemmas: pa.Array):
-    def replace(texts: pa.Array) -> pa.Array:
+    def replace_block(texts: pa.Array) -> pa.Array:
         words = pc.split_pattern(texts, " ")
         flat = pc.list_flatten(words)
         mapped = pc.coalesce(pc.take(lemmas, pc.index_in(flat, value_set=keys)), flat)
         joined = pc.binary_join(pa.ListArray.from_arrays(words.offsets, mapped), " ")
         return pc.if_else(pc.is_valid(texts), joined, pa.scalar(None, joined.type))
 
+    def replace(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([replace_block(block) for block in S.text_blocks(texts)] or [texts])
+
     return F.arrow_udf(replace, "string")
 
 
@@ -82,7 +86,7 @@ def _hot_words(hot: pa.Table):
     keys, lemmas = hot["word"].combine_chunks(), pc.coalesce(hot["lemma"], hot["word"]).combine_chunks()
     kind = pa.struct([("words", pa.list_(pa.string())), ("rare", pa.list_(pa.string()))])
 
-    def replace(texts: pa.Array) -> pa.Array:
+    def replace_block(texts: pa.Array) -> pa.Array:
         words = pc.split_pattern(pc.fill_null(texts, ""), " ")
         flat = pc.list_flatten(words)
         at = pc.index_in(flat, value_set=keys)
@@ -93,6 +97,9 @@ def _hot_words(hot: pa.Table):
         rare = pa.ListArray.from_arrays(pa.array(ends), flat.filter(pc.invert(known)))
         return pa.StructArray.from_arrays([mapped, rare], fields=list(kind))
 
+    def replace(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([replace_block(block) for block in S.text_blocks(texts)] or [replace_block(texts)])
+
     return F.arrow_udf(replace, "struct<words:array<string>,rare:array<string>>")
 
 
