@@ -12,11 +12,13 @@ ranks and places the pieces.
 from __future__ import annotations
 
 import bisect
+import json
 import os
+import re
 import struct
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -30,15 +32,56 @@ from themeloom.llm.common import materialise
 MAX_TOKENS = 4096
 END_ID = 1
 MEMO_WORDS = 300_000  # of each of the two generations
+PARTS_AT_ONCE = 512
 SLICE_ROWS = 256
+# What a file must say for its words to be cut into parts here, and the same in Python. Words of printable ASCII and
+# composed Latin-1 letters alone, which NFC leaves as they are; none with "<", so none that holds a special string.
+FOLDING = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"},
+]}
+SPLITTING = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+PLAIN = re.compile("[!-;=-~À-ÖØ-öø-ÿ]+").fullmatch
+PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
 PIECES = "id {id}, piece int, start long, length long, ids_crc32 long"
 
 
+class Generations:
+    """A memo that is filled for many keys at once, in two generations of at most MEMO_WORDS entries and one filling.
+
+    A full generation becomes the older one and keys met again come back from it, so keys that occur once
+    push out no frequent ones.
+    """
+
+    def __init__(self, compute: Callable[[list], list[bytes]]):
+        self.compute = compute
+        self.recent: dict = {}
+        self.before: dict = {}
+
+    def learn(self, keys: Iterable) -> dict:
+        """A memo that holds all of `keys`, which are distinct; unknown ones are computed in one call."""
+        if len(self.recent) >= MEMO_WORDS:
+            self.recent, self.before = {}, self.recent
+        recent, before = self.recent, self.before
+        unmet = [k for k in keys if k not in recent]
+        recent.update((k, before[k]) for k in unmet if k in before)
+        new = [k for k in unmet if k not in before]
+        if new:
+            recent.update(zip(new, self.compute(new)))
+        return recent
+
+
 class WordEncoder:
     """Encodes white-space separated words with a tokenizer that drops white space, remembering met words.
 
     The tokenizer's normalisation and pre-tokenization never reach across ASCII white space, which
     a probe tests when the file is opened, so a text's ids are those of its words in a row.
+
+    If the file lower-cases and splits words as FOLDING and SPLITTING say, words of plain letters, digits and marks are
+    cut into the same parts here: a word in another case, or with other marks around it, is mostly known by its parts,
+    and unknown parts of many words are one call, taken apart by the suffix that ends each.
     """
 
     def __init__(self, path: str):
@@ -49,25 +92,47 @@ class WordEncoder:
         apart = [i for w in probe for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
         if self.tokenizer.encode(" \t".join(probe), add_special_tokens=False).ids != apart:
             raise ValueError("the tokenizer does not drop white space between words")
-        self.recent: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.in_parts = bool(suffix) and spec["normalizer"] == FOLDING and spec["pre_tokenizer"] == SPLITTING and all(
+            "<" in token["content"] for token in spec["added_tokens"]
+        )
+        if self.in_parts:
+            size = self.tokenizer.get_vocab_size()
+            self.ends = np.array([(self.tokenizer.id_to_token(k) or "").endswith(suffix) for k in range(size)])
+        self.words = Generations(self._words)
+        self.parts = Generations(self._parts)
+
+    def _apart(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(parts), PARTS_AT_ONCE):
+            some = parts[at : at + PARTS_AT_ONCE]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(stops) == len(some) and stops[-1] == 4 * len(ids):
+                raw = ids.tobytes()
+                out += map(raw.__getitem__, map(slice, [0, *stops], stops))
+            else:
+                out += self._apart(some)
+        return out
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        if not self.in_parts:
+            return self._apart(texts)
+        cut = [PART(t.lower()) if PLAIN(t) else None for t in texts]
+        ids_of = self.parts.learn(dict.fromkeys(chain.from_iterable(filter(None, cut))))
+        others = iter(self._apart([t for t, parts in zip(texts, cut) if parts is None]))
+        return [next(others) if parts is None else b"".join(map(ids_of.__getitem__, parts)) for parts in cut]
 
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of a slice's words, as little-endian unsigned 32-bit numbers; unknown words are encoded in one call.
-
-        A full generation becomes the older one and words met again come back from it, so words that occur once
-        push out no frequent ones.
-        """
-        if len(self.recent) >= MEMO_WORDS:
-            self.recent, self.before = {}, self.recent
-        recent, before = self.recent, self.before
-        unmet = [w for w in words if w not in recent]
-        recent.update((w, before[w]) for w in unmet if w in before)
-        new = [w for w in unmet if w not in before]
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        for word, ids in zip(new, (e.ids for e in found)):
-            recent[word] = struct.pack(f"<{len(ids)}I", *ids)
-        return recent
+        """The ids of a slice's words, as little-endian unsigned 32-bit numbers."""
+        return self.words.learn(words)
 
 
 @lru_cache(maxsize=1)
