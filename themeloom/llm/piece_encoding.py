@@ -2,16 +2,18 @@
 
 At each place the longest piece is tried first. A piece may follow another only if re-merging the two gives the
 same two; when no piece fits, the last one is taken back and its end is marked in a bitfield, so that no place is
-left twice. No piece has a space after another character, so texts are cut before spaces and the parts encoded
-alone, which lets a task remember the parts it has met.
+left twice. No piece has a space after another character, and none holds characters of the two classes that `joined_letters`
+finds in the vocabulary, so no merge crosses from one to the other: texts are cut there and the parts encoded alone,
+which lets a task remember the parts it has met, such as a word without the comma after it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -21,11 +23,38 @@ from pyspark.sql import functions as F
 from themeloom.llm.common import BoundedCache, text_batches
 from themeloom.llm.piece_model import SPACE, Compatibility, load, reachable
 
-PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")  # cut before spaces alone
 PART_LIMIT = 150_000
 LONGEST_KEPT = 64
 
 
+def joined_letters(pieces: Iterable[str]) -> set[str]:
+    """The letters of the pieces and all characters that a chain of neighbours in pieces links to one, spaces aside.
+
+    So no piece holds one of these next to a character that is none of them, except the space.
+    """
+    linked: dict[str, set[str]] = {}
+    for piece in pieces:
+        text = piece.lstrip(SPACE)
+        for left, right in zip(text, text[1:] or text):
+            linked.setdefault(left, set()).add(right)
+            linked.setdefault(right, set()).add(left)
+    found = {c for c in linked if c.isalpha()}
+    fresh = list(found)
+    while fresh:
+        for char in linked[fresh.pop()] - found:
+            found.add(char)
+            fresh.append(char)
+    return found
+
+
+class PartCache(BoundedCache):
+    """The memo of parts; long ones, which hardly come again, are encoded each time."""
+
+    def __missing__(self, part: str):
+        return super().__missing__(part) if len(part) <= LONGEST_KEPT else self.compute(part)
+
+
 class Encoder:
     """Encodes and decodes single texts; holds the automaton and the memo of a task."""
 
@@ -35,10 +64,21 @@ class Encoder:
         self.automaton = ahocorasick.Automaton()
         self.tokens = reachable(path)
         for piece in self.tokens:
-            self.automaton.add_word(piece, piece)
+            if len(piece) > 1:
+                self.automaton.add_word(piece, (len(piece) - 1, piece))
         self.automaton.make_automaton()
+        self.characters = frozenset(p for p in self.vocabulary.ids if len(p) == 1)
+        letters = "".join(map(re.escape, sorted(joined_letters(self.vocabulary.ids)))) or SPACE
+        self.split = re.compile(f"{SPACE}*[{letters}]+|{SPACE}*[^{letters}{SPACE}]+|{SPACE}+").findall
         self.shorter: dict[str, str | None] = BoundedCache(self._shorter, len(self.tokens) + 1)
-        self.parts = BoundedCache(self._part, PART_LIMIT)
+        self.parts = PartCache(self._part, PART_LIMIT)
+        # The text of each id, if it has one that does not depend on its neighbours: all but bytes from 128 on.
+        known = self.vocabulary
+        self.texts = ["" if k in known.control else " ⁇ " if k == known.unknown else p.replace(SPACE, " ") for k, p in enumerate(known.pieces)]
+        for byte, k in enumerate(known.byte_ids):
+            self.texts[k] = chr(byte) if byte < 128 else ""
+        self.numbers = [str(k) for k in range(len(known.pieces))]
+        self.high_bytes = frozenset(known.byte_ids[128:])
 
     def _shorter(self, piece: str) -> str | None:
         """The longest other piece that starts this one."""
@@ -46,51 +86,54 @@ class Encoder:
 
     def _run(self, text: str) -> list[int]:
         """Encodes characters that are all in the vocabulary."""
-        longest: list[str | None] = [None] * len(text)
-        for end, piece in self.automaton.iter(text):
-            start = end - len(piece) + 1
-            if longest[start] is None or len(piece) > len(longest[start]):
-                longest[start] = piece
-        failed = bytearray((len(text) >> 3) + 1)  # a bit for each place
+        longest: list[str | None] = list(text)
+        for end, (back, piece) in self.automaton.iter(text):
+            longest[end - back] = piece  # ends ascend, so the last one found at a place is the longest
+        longest.append(None)
+        size, shorter, fits = len(text), self.shorter, self.compatible.memo
+        failed = None  # a bit for each place, once there is one to set
         chosen: list[str] = []
-        place, piece = 0, longest[0]
-        while place < len(text):
+        place, piece, before = 0, longest[0], None
+        while place < size:
             while piece is not None:
                 end = place + len(piece)
-                if not failed[end >> 3] >> (end & 7) & 1 and (not chosen or self.compatible(chosen[-1], piece)):
+                if (before is None or fits[before, piece]) and (failed is None or not failed[end >> 3] >> (end & 7) & 1):
                     break
-                piece = self.shorter[piece]
+                piece = shorter[piece]
             if piece is not None:
                 chosen.append(piece)
-                place += len(piece)
-                piece = longest[place] if place < len(text) else None
+                before, place = piece, end
+                piece = longest[place]
             else:
+                if failed is None:
+                    failed = bytearray((size >> 3) + 1)
                 failed[place >> 3] |= 1 << (place & 7)
                 piece = chosen.pop()
                 place -= len(piece)
+                before = chosen[-1] if chosen else None
                 # Its end is marked now, so the search goes on with the next shorter piece.
-        return [self.vocabulary.ids[p] for p in chosen]
+        return [*map(self.vocabulary.ids.__getitem__, chosen)]
 
-    def _part(self, text: str) -> list[int]:
+    def _part(self, text: str) -> tuple[int, ...]:
+        if self.characters.issuperset(text):
+            return tuple(self._run(text))
         found: list[int] = []
-        known = self.vocabulary.ids
         start = 0
         for k, char in enumerate(text):
-            if char not in known:  # never part of a merge, written as its bytes
+            if char not in self.characters:  # never part of a merge, written as its bytes
                 if k > start:
                     found += self._run(text[start:k])
                 found += [self.vocabulary.byte_ids[b] for b in char.encode()]
                 start = k + 1
         if start < len(text):
             found += self._run(text[start:])
-        return found
+        return tuple(found)
 
     def encode(self, text: str, end: bool = True) -> list[int]:
         """The ids of a whole text, with the end id if asked for. An empty text has the end id alone."""
         found: list[int] = []
         if text:
-            for part in PART.findall(SPACE + text.replace(" ", SPACE)):
-                found += self.parts[part] if len(part) <= LONGEST_KEPT else self._part(part)
+            found += chain.from_iterable(map(self.parts.__getitem__, self.split(SPACE + text.replace(" ", SPACE))))
         if end:
             found.append(self.vocabulary.end)
         return found
@@ -98,6 +141,10 @@ class Encoder:
     def decode(self, ids: list[int]) -> str:
         """The text of ids: control ids have none, bytes that are no UTF-8 give U+FFFD each, and the space that
         encoding puts in front goes."""
+        if self.high_bytes.isdisjoint(ids):
+            text = "".join(map(self.texts.__getitem__, ids))
+            first = next((k for k in ids if k not in self.vocabulary.control), self.vocabulary.unknown)
+            return text[1:] if first != self.vocabulary.unknown and self.vocabulary.pieces[first][:1] == SPACE else text
         pieces, control, out, run = self.vocabulary.pieces, self.vocabulary.control, [], bytearray()
         first, last = self.vocabulary.byte_ids[0], self.vocabulary.byte_ids[255]
         started = False
@@ -174,7 +221,7 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text: str
             for text_value in texts:
                 ids = own.encode(text_value)
                 counts.append(len(ids))
-                ids_digests.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                ids_digests.append(hashlib.sha256(" ".join(map(own.numbers.__getitem__, ids)).encode()).hexdigest())
                 text_digests.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(counts, pa.int64()), pa.array(ids_digests), pa.array(text_digests)],
