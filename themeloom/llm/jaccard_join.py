@@ -411,7 +411,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     source = docs.select(docs[id_col].alias("id"), docs[text].alias("text"))
     rows = materialise(_sets(source, width), "shingle-sets")
-    often = _shingle_counts(source, width, percent).where(F.col("n") >= COMMON_FROM).orderBy(F.desc("n"), "shingle").limit(common_shingles).toArrow()
+    # Written first: the rows behind the counts are shuffled shingles of all sets, whose files a written table frees.
+    frequent = _shingle_counts(source, width, percent).where(F.col("n") >= COMMON_FROM).orderBy(F.desc("n"), "shingle").limit(common_shingles)
+    often = materialise(frequent, "common-shingles").toArrow()
     shingle, count = often["shingle"].to_numpy().view(np.uint64), often["n"].to_numpy()
     order = np.argsort(shingle)
     common = (shingle[order], count[order])
