@@ -46,6 +46,43 @@ def text_blocks(texts: pa.Array, at_once: int | None = None) -> Iterator[pa.Arra
         start = stop
 
 
+def word_counter(min_length: int, count_rows: bool = False):
+    """`(term, df, tf)` of the words of space-joined texts, added up per block of texts; of at least `min_length` letters.
+
+    If asked, a null term counts the rows of each batch, null texts included. Words are numbered per block, so only
+    its distinct words leave a task as text.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if count_rows and batch.num_rows:
+                rows = pa.array([batch.num_rows], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), rows, rows], ["term", "df", "tf"])
+            for block in text_blocks(batch.column(0)):
+                flat, row = block_words(block, min_length)
+                if not len(flat):
+                    continue
+                coded = flat.dictionary_encode()
+                words, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+                tf = np.bincount(code, minlength=len(words))
+                # Sorted by word and row, a pair's first occurrence counts its document.
+                pairs = np.sort(code * len(block) + row)
+                fresh = np.concatenate([[True], pairs[1:] != pairs[:-1]])
+                df = np.bincount(pairs[fresh] // len(block), minlength=len(words))
+                yield pa.RecordBatch.from_arrays([words, pa.array(df, pa.int64()), pa.array(tf, pa.int64())], ["term", "df", "tf"])
+
+    return count
+
+
+def block_words(block: pa.Array, min_length: int) -> tuple[pa.Array, np.ndarray]:
+    """The words of at least `min_length` letters of space-joined texts, and the row of each; null counts as empty."""
+    texts = pc.split_pattern(pc.fill_null(block, ""), " ")
+    flat, ends = pc.list_flatten(texts), texts.offsets.to_numpy()
+    row = np.repeat(np.arange(len(texts)), np.diff(ends))
+    long = pc.greater_equal(pc.utf8_length(flat), min_length)
+    return flat.filter(long), row[long.to_numpy(zero_copy_only=False)]
+
+
 def times(rows: Rows, dense: np.ndarray) -> np.ndarray:
     """Sparse rows times a dense matrix, one of its columns after another: no array of cells x columns is made."""
     offsets, columns, values = rows

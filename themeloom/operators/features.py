@@ -22,6 +22,7 @@ from themeloom.functions import sparse as S
 from themeloom.functions import text as T
 from themeloom.session import materialise
 
+CELLS = "struct<indices:array<int>,values:array<double>>"
 _HEAD_SPARE = 1024  # words read beyond the limit, for those that are in too many documents
 _TASK_WORDS = 1 << 20  # words that phrase counting numbers in the tasks; with more, phrases are counted as text
 
@@ -34,9 +35,13 @@ def with_terms(df: DataFrame, ngram_range: tuple[int, int] = (1, 2), text_col: s
 def term_statistics(df: DataFrame, ngram_range: tuple[int, int] = (1, 2), count_documents: bool = False) -> DataFrame:
     """`(term, df, tf)`: documents holding the term and total occurrences; if asked, a null term counts documents.
 
-    Sorting a document's terms puts repeats side by side, so both numbers come from one explode and
-    one combined aggregate, without grouping by document.
+    Single words are added up per block of texts before they are grouped. For longer terms, sorting a document's terms
+    puts repeats side by side, so both numbers come from one explode and one combined aggregate, without grouping by
+    document.
     """
+    if ngram_range == (1, 1):
+        counted = df.select("clean_text").mapInArrow(S.word_counter(2, count_documents), "term string, df long, tf long")
+        return counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
 
     def mark_first(terms: Column) -> Column:
         return F.transform(
@@ -175,6 +180,59 @@ def vocabulary(
     return counted_vocabulary(df, max_features, min_df, max_df, ngram_range)[0]
 
 
+def _cell_maker(terms: list[str], ngram_range: tuple[int, int], idf: np.ndarray | None):
+    """Texts to the cells of their sparse rows: counts of the terms in term order, with `idf` normalised TF-IDF."""
+    words = sorted({w for term in terms for w in term.split(" ")})
+    number = {w: k for k, w in enumerate(words)}
+    held = pa.array(words, pa.string())
+    by_size: dict[int, dict[int, int]] = {}
+    for k, term in enumerate(terms):
+        code, parts = 0, term.split(" ")
+        for w in parts:
+            code = code * len(words) + number[w]
+        if ngram_range[0] <= len(parts) <= ngram_range[1]:
+            by_size.setdefault(len(parts), {})[code] = k
+    tables = {}
+    for size, ids in by_size.items():
+        codes = np.array(sorted(ids), np.int64)
+        tables[size] = codes, np.array([ids[c] for c in codes.tolist()], np.int64)
+
+    def make_block(block: pa.Array) -> pa.Array:
+        flat, row = S.block_words(block, 2)
+        code = pc.fill_null(pc.index_in(flat, value_set=held), -1).to_numpy().astype(np.int64)
+        found = [np.zeros(0, np.int64)]
+        for size, (codes, ids) in tables.items():
+            many = len(code) - size + 1
+            if many <= 0:
+                continue
+            phrase, whole = np.zeros(many, np.int64), np.ones(many, bool)
+            for k in range(size):
+                part = slice(k, many + k)
+                phrase = phrase * len(words) + code[part]
+                whole &= (code[part] >= 0) & (row[part] == row[:many])
+            phrase, at_row = phrase[whole], row[:many][whole]
+            at = np.minimum(np.searchsorted(codes, phrase), len(codes) - 1)
+            hit = codes[at] == phrase
+            found.append(at_row[hit] * len(terms) + ids[at[hit]])
+        cell, values = np.unique(np.concatenate(found), return_counts=True)
+        row, column = np.divmod(cell, max(len(terms), 1))
+        values = values.astype(np.float64)
+        if idf is not None:
+            values *= idf[column]
+            norm = np.sqrt(np.bincount(row, weights=values * values, minlength=len(block)))
+            values /= np.where(norm == 0, 1.0, norm)[row]
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(block)))]).astype(np.int32))
+        return pa.StructArray.from_arrays(
+            [pa.ListArray.from_arrays(ends, pa.array(column.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(values))],
+            ["indices", "values"],
+        )
+
+    def make(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([make_block(block) for block in S.text_blocks(texts)] or [make_block(texts)])
+
+    return make
+
+
 @dataclass
 class Vectorizer:
     """A fitted vocabulary with document frequencies; makes count and TF-IDF vectors."""
@@ -203,6 +261,20 @@ class Vectorizer:
         ).transform(self.counts(df, "_counts"))
         return Normalizer(p=2.0, inputCol="_scaled", outputCol=output).transform(scaled).drop("_counts", "_scaled")
 
+    def cells(self, df: DataFrame, output: str, weighted: bool) -> DataFrame:
+        """Adds the `indices` and `values` of the same vectors as one struct, TF-IDF if weighted, else counts.
+
+        For steps that need no vector column: words are numbered, a phrase is one number, and no text of a term is built.
+        """
+        size = len({w for term in self.terms for w in term.split(" ")})
+        if size ** self.ngram_range[1] >= 1 << 62:
+            made = self.tfidf(df, "_made") if weighted else self.counts(df, "_made")
+            indices, values = cells("_made")
+            return made.withColumn(output, F.struct(indices.alias("indices"), values.alias("values"))).drop("_made")
+        made = F.arrow_udf(_cell_maker(self.terms, self.ngram_range, self.idf if weighted else None), CELLS)("clean_text")
+        # The array of one is a barrier: what reads the cells sees a plain column, and they are made once.
+        return df.select("*", F.explode(F.array(made)).alias(output))
+
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [(i, t, int(d)) for i, (t, d) in enumerate(zip(self.terms, self.df))]
         return spark.createDataFrame(rows, "term_id int, term string, df long")

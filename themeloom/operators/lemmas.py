@@ -19,8 +19,9 @@ BASE_SHARE = 0.1  # a base form must occur in this share of the documents its in
 
 def lexicon_of(df: DataFrame, text_col: str = "raw_text") -> DataFrame:
     """Words of the cleaned text, stopwords and short words included, and the documents that hold each."""
-    words = F.array_distinct(F.split(T.clean_text(F.col(text_col)), " "))
-    return df.select(F.explode(words).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("df"))
+    cleaned = df.select(T.clean_text(F.col(text_col)).alias("text"))
+    counted = cleaned.mapInArrow(S.word_counter(1), "term string, df long, tf long")
+    return counted.groupBy(F.col("term").alias("word")).agg(F.sum("df").alias("df"))
 
 
 def _forms(word: Column, irregular: dict[str, str]) -> Column:

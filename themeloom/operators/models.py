@@ -35,12 +35,13 @@ class TopicModel:
 
     def infer(self, df: DataFrame) -> DataFrame:
         """Adds `known_terms`, `length` (row sum of the model's own matrix) and `weights`; no shuffle."""
-        indices, values = X.cells("_vector")
-        vectored = self.vectors(df, "_vector").withColumn("known_terms", F.size(indices)).withColumn(
+        made = self.vectorizer.cells(df, "_cells", weighted=self.name != "LDA")
+        indices, values = F.col("_cells")["indices"], F.col("_cells")["values"]
+        measured = made.withColumn("known_terms", F.size(indices)).withColumn(
             "length", F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
         )
         weights = (lda if self.name == "LDA" else nmf).infer(indices, values, self.topic_term)
-        return vectored.withColumn("weights", weights).drop("_vector")
+        return measured.withColumn("weights", weights).drop("_cells")
 
     def doc_topic(self, corpus: DataFrame, id_col: str = "doc_id") -> DataFrame:
         """`(model, doc_id, length, weights)` for a corpus."""
