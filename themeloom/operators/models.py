@@ -89,7 +89,7 @@ def fit_models(
     """Fits one kind of model for each number of topics on rows that hold `counts` (LDA) or `tfidf` (NMF) vectors."""
     width = len(vectorizer.terms)
     if name == "LDA":
-        return {k: TopicModel("LDA", vectorizer, t) for k, t in lda.fit_many(vectored, *X.cells("counts"), width, topics, seed).items()}
+        return {k: TopicModel("LDA", vectorizer, t) for k, t in lda.fit_many(vectored, *X.cells("counts"), width, topics, seed, leaps=True).items()}
     found = nmf.fit_many(vectored, *X.cells("tfidf"), width, topics, seed)
     return {k: TopicModel("NMF", vectorizer, f.topic_term, objective=f.objective) for k, f in found.items()}
 
