@@ -86,16 +86,19 @@ class TopicModel:
 def fit_models(
     name: str, vectored: DataFrame, vectorizer: X.Vectorizer, topics: Iterable[int], seed: int = C.SEED
 ) -> dict[int, TopicModel]:
-    """Fits one kind of model for each number of topics on rows that hold `counts` (LDA) or `tfidf` (NMF) vectors."""
+    """Fits one kind of model for each number of topics on rows that hold the cells of `counts` (LDA) or `tfidf` (NMF)."""
     width = len(vectorizer.terms)
+    column = "counts" if name == "LDA" else "tfidf"
+    indices, values = F.col(column)["indices"], F.col(column)["values"]
     if name == "LDA":
-        return {k: TopicModel("LDA", vectorizer, t) for k, t in lda.fit_many(vectored, *X.cells("counts"), width, topics, seed, leaps=True).items()}
-    found = nmf.fit_many(vectored, *X.cells("tfidf"), width, topics, seed)
+        found = lda.fit_many(vectored, indices, values, width, topics, seed, leaps=True)
+        return {k: TopicModel("LDA", vectorizer, t) for k, t in found.items()}
+    found = nmf.fit_many(vectored, indices, values, width, topics, seed)
     return {k: TopicModel("NMF", vectorizer, f.topic_term, objective=f.objective) for k, f in found.items()}
 
 
 def fit_model(
     name: str, vectored: DataFrame, vectorizer: X.Vectorizer, n_topics: int = C.N_TOPICS, seed: int = C.SEED
 ) -> TopicModel:
-    """Fits one model on rows that hold `counts` (LDA) or `tfidf` (NMF) vectors."""
+    """Fits one model on rows that hold the cells of `counts` (LDA) or `tfidf` (NMF)."""
     return fit_models(name, vectored, vectorizer, [n_topics], seed)[n_topics]

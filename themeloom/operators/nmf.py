@@ -12,13 +12,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions import constants as C
 from themeloom.functions import sparse as S
 from themeloom.operators.blocks import summed
+from themeloom.session import materialise
 
 _OVERSAMPLING, _POWER_PASSES = 10, 6
 
@@ -85,39 +85,37 @@ def fit_many(
 ) -> dict[int, Factorisation]:
     """Fits H for each number of topics on the sparse rows given by two array columns, in the same scans.
 
-    One scan per iteration serves every fit that has not settled: a fit stops when its objective does. The spectral
-    start is found once, for the most topics, and its leading part serves the others.
+    The rows are written once, so that no executor holds them in memory. One scan per iteration serves every fit that has
+    not settled: a fit stops when its objective does. The spectral start is found once, for the most topics, and its
+    leading part serves the others.
     """
-    cells = df.select(indices.alias("indices"), values.alias("values")).persist(StorageLevel.MEMORY_AND_DISK)
+    cells = materialise(df.select(indices.alias("indices"), values.alias("values")), "nmf-cells")
     topics = sorted(set(topics))
-    try:
-        squares, rows = cells.agg(
-            F.sum(F.aggregate("values", F.lit(0.0), lambda a, x: a + x * x)), F.count("*")
-        ).first()
-        if init == "nndsvd":
-            start = _spectral_start(cells, width, topics[-1], seed)
-            models = {k: Factorisation(np.vstack([start[:k], np.zeros((max(k - len(start), 0), width))])) for k in topics}
-        else:
-            models = {}
-            for k in topics:
-                mean = np.sqrt((squares / max(rows, 1)) / (width * k))
-                models[k] = Factorisation(mean * np.abs(np.random.default_rng(seed).standard_normal((k, width))))
-        going = list(topics)
-        for _ in range(max_iterations):
-            solved = _row_solutions(cells, [models[k].topic_term for k in going], width)
-            for k, (cross, gram) in zip(list(going), solved):
-                model = models[k]
-                h = model.topic_term = _update_topics(model.topic_term, cross, gram)
-                error = squares - 2 * (cross * h).sum() + (gram * (h @ h.T)).sum()
-                previous = model.objective[-1] if model.objective else np.inf
-                model.objective.append(float(error))
-                if previous - error <= tolerance * max(error, 1e-12):
-                    going.remove(k)
-            if not going:
-                break
-        return models
-    finally:
-        cells.unpersist()
+    squares, rows = cells.agg(
+        F.sum(F.aggregate("values", F.lit(0.0), lambda a, x: a + x * x)), F.count("*")
+    ).first()
+    if init == "nndsvd":
+        start = _spectral_start(cells, width, topics[-1], seed)
+        models = {k: Factorisation(np.vstack([start[:k], np.zeros((max(k - len(start), 0), width))])) for k in topics}
+    else:
+        models = {}
+        for k in topics:
+            mean = np.sqrt((squares / max(rows, 1)) / (width * k))
+            models[k] = Factorisation(mean * np.abs(np.random.default_rng(seed).standard_normal((k, width))))
+    going = list(topics)
+    for _ in range(max_iterations):
+        solved = _row_solutions(cells, [models[k].topic_term for k in going], width)
+        for k, (cross, gram) in zip(list(going), solved):
+            model = models[k]
+            h = model.topic_term = _update_topics(model.topic_term, cross, gram)
+            error = squares - 2 * (cross * h).sum() + (gram * (h @ h.T)).sum()
+            previous = model.objective[-1] if model.objective else np.inf
+            model.objective.append(float(error))
+            if previous - error <= tolerance * max(error, 1e-12):
+                going.remove(k)
+        if not going:
+            break
+    return models
 
 
 def fit_nmf(df: DataFrame, indices: Column, values: Column, width: int, n_topics: int = C.N_TOPICS, seed: int = C.SEED, **options) -> Factorisation:

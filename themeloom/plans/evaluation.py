@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +14,7 @@ from themeloom.operators import features as X
 from themeloom.operators import topics as TP
 from themeloom.operators.models import fit_models
 from themeloom.plans.training import Fitted, vectors
+from themeloom.session import materialise
 
 
 def final_metrics(fitted: Fitted, corpus: DataFrame) -> DataFrame:
@@ -35,26 +35,22 @@ def sweep(
 ) -> DataFrame:
     """`(n_topics, lda_coherence, nmf_coherence)` for every number of topics.
 
-    All fits share one vocabulary and one set of cached vectors, and all fits of a kind the same scans: a scan updates
-    the topics of every number of topics. One pass over the corpus then counts the windows for every fit together.
+    The corpus is written once. All fits share one vocabulary, and all fits of a kind the same stored vectors and scans: a
+    scan updates the topics of every number of topics. One pass over the corpus then counts the windows for every fit
+    together.
     """
     spark = corpus.sparkSession
-    corpus = corpus.select("doc_id", "clean_text").persist(StorageLevel.MEMORY_AND_DISK)
+    corpus = materialise(corpus.select("doc_id", "clean_text"), "corpus")
     vectorizer = X.fit_vectorizer(corpus, **vocabulary)
-    kept = vectors(corpus, vectorizer, models)
-    try:
-        found = []
-        for name in models:
-            for k, fitted in fit_models(name, kept, vectorizer, topics, seed).items():
-                best = np.argsort(-fitted.topic_term, axis=1, kind="stable")[:, : C.TOP_WORDS]
-                found += [(f"{name}:{k}", t, vectorizer.terms[i]) for t, row in enumerate(best) for i in row]
-        terms = spark.createDataFrame(found, "model string, topic int, term string")
-        scored = H.coherence_cv(terms, corpus)
-        split = F.split("model", ":")
-        wide = scored.select(
-            split[1].cast("int").alias("n_topics"), F.concat(F.lower(split[0]), F.lit("_coherence")).alias("m"), "coherence"
-        ).groupBy("n_topics").pivot("m", [f"{m.lower()}_coherence" for m in sorted(models)]).agg(F.first("coherence"))
-        return spark.createDataFrame(wide.orderBy("n_topics").toArrow(), wide.schema)
-    finally:
-        kept.unpersist()
-        corpus.unpersist()
+    found = []
+    for name in models:
+        for k, fitted in fit_models(name, vectors(corpus, vectorizer, name), vectorizer, topics, seed).items():
+            best = np.argsort(-fitted.topic_term, axis=1, kind="stable")[:, : C.TOP_WORDS]
+            found += [(f"{name}:{k}", t, vectorizer.terms[i]) for t, row in enumerate(best) for i in row]
+    terms = spark.createDataFrame(found, "model string, topic int, term string")
+    scored = H.coherence_cv(terms, corpus)
+    split = F.split("model", ":")
+    wide = scored.select(
+        split[1].cast("int").alias("n_topics"), F.concat(F.lower(split[0]), F.lit("_coherence")).alias("m"), "coherence"
+    ).groupBy("n_topics").pivot("m", [f"{m.lower()}_coherence" for m in sorted(models)]).agg(F.first("coherence"))
+    return spark.createDataFrame(wide.orderBy("n_topics").toArrow(), wide.schema)

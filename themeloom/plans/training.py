@@ -1,16 +1,16 @@
-"""Corpus to fitted models: one vocabulary, one set of cached vectors, and the models asked for."""
+"""Corpus to fitted models: one vocabulary, vectors stored once per kind, and the models asked for."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from themeloom.functions import constants as C
 from themeloom.operators import features as X
 from themeloom.operators import lemmas as L
 from themeloom.operators.models import TopicModel, fit_model
+from themeloom.session import spread
 
 _VECTORS = {"LDA": "counts", "NMF": "tfidf"}
 
@@ -37,16 +37,10 @@ class Fitted:
             model.save(spark, f"{path}/{name.lower()}")
 
 
-def vectors(corpus: DataFrame, vectorizer: X.Vectorizer, models: list[str]) -> DataFrame:
-    """The vector columns the models need, spread over the session's cores and kept for the fits."""
-    df = corpus.select("clean_text")
-    for name in models:
-        df = vectorizer.counts(df, "counts") if name == "LDA" else vectorizer.tfidf(df, "tfidf")
-    df = df.select(*[_VECTORS[name] for name in models])
-    wanted = corpus.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < wanted:
-        df = df.repartition(wanted)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+def vectors(corpus: DataFrame, vectorizer: X.Vectorizer, name: str) -> DataFrame:
+    """The cells that a kind of model is fitted on, `counts` or `tfidf`; the fit stores what it reads more than once."""
+    made = vectorizer.cells(spread(corpus.select("clean_text")), _VECTORS[name], weighted=name != "LDA")
+    return made.select(_VECTORS[name])
 
 
 def fit(
@@ -58,15 +52,11 @@ def fit(
     `lemmas` is the table the corpus was lemmatised with; the models keep the part that new texts need.
     """
     vectorizer = X.fit_vectorizer(corpus, **vocabulary)
-    kept = vectors(corpus, vectorizer, models)
     pairs = [] if lemmas is None else L.pairs_for(lemmas, list(vectorizer.terms))
-    try:
-        fitted = {name: fit_model(name, kept, vectorizer, n_topics, seed) for name in models}
-        for model in fitted.values():
-            model.lemmas = pairs
-        return Fitted(vectorizer, fitted)
-    finally:
-        kept.unpersist()
+    fitted = {name: fit_model(name, vectors(corpus, vectorizer, name), vectorizer, n_topics, seed) for name in models}
+    for model in fitted.values():
+        model.lemmas = pairs
+    return Fitted(vectorizer, fitted)
 
 
 def load(spark: SparkSession, path: str, models: list[str] = C.MODELS) -> Fitted:
